@@ -7,7 +7,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SUITES = ["suite_finance", "suite_reconcile"]
+SUITES = ["suite_finance", "suite_reconcile", "suite_normalise"]
 
 
 def for_display(frame: DataFrame) -> DataFrame:
