@@ -22,15 +22,17 @@ def folder_label(path: Column) -> Column:
 
 
 def read_export(spark: SparkSession, *paths: str) -> DataFrame:
-    """A bill export; several part files or folders are one read."""
-    return spark.read.parquet(*paths)
+    """A bill export; several part files or folders are one read.
+
+    A pull folder also holds its manifest, which is not part of the table.
+    """
+    return spark.read.option("pathGlobFilter", "*.parquet").parquet(*paths)
 
 
 def read_labelled_exports(spark: SparkSession, root: str) -> DataFrame:
-    """Every pull under a root, kept apart by the folder it arrived in."""
+    """Every pull under a root, one subfolder each, kept apart by that folder's name."""
     return (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-        .option("mergeSchema", "true").parquet(root)
+        spark.read.option("mergeSchema", "true").parquet(f"{root}/*/*.parquet")
         .withColumn("drop_id", folder_label(F.col("_metadata.file_path")))
     )
 
