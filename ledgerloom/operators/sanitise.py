@@ -32,23 +32,29 @@ SHAPES = {
     "email address": rf"[{_WORD}.+-]+@[{_WORD}-]+\.[{_WORD}.]{{2,}}",
     "tenant domain": rf"[{_WORD}-]+\.onmicrosoft\.com\b",
 }
+# Text without its marker cannot contain the shape.
+MARKERS = {"GUID": "-", "subscription path": "/subscriptions/", "billing scope": "/providers/",
+           "email address": "@", "tenant domain": ".onmicrosoft.com"}
 # --- fixed values: identifier-shaped text that is published on purpose ---------
 PUBLISHED = (r"^(0{8}-0{4}-0{4}-0{4}-0{12}|\{[A-Z_]+\}|534c40a5-5207-406a-a372-6f8308b56aaa)$")
 
 
+def _shaped(digest: Column, sizes: list[int]) -> Column:
+    """Cut a digest into dashed groups.
+
+    One regular expression, so the digest is an argument once: inside a lambda
+    a repeated expression would be computed again each time it is named.
+    """
+    groups = "".join(f"(.{{{size}}})" for size in sizes)
+    return F.regexp_replace(digest, f"^{groups}.*$", "-".join(f"${n + 1}" for n in range(len(sizes))))
+
+
 def pseudonym_guid(token: Column, salt: str) -> Column:
-    digest = F.sha2(F.concat(F.lit(salt), token), 256)
-    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    return F.concat_ws("-", *[F.substring(digest, at, size) for at, size in cuts])
+    return _shaped(F.sha2(F.concat(F.lit(salt), token), 256), [8, 4, 4, 4, 12])
 
 
 def pseudonym_code(token: Column, salt: str) -> Column:
-    digest = F.upper(F.sha2(F.concat(F.lit(salt), token), 256))
-    at, parts = 1, []
-    for size in map(len, CODE_TEMPLATE.split("-")):
-        parts.append(F.substring(digest, at, size))
-        at += size
-    return F.concat_ws("-", *parts)
+    return _shaped(F.upper(F.sha2(F.concat(F.lit(salt), token), 256)), [len(p) for p in CODE_TEMPLATE.split("-")])
 
 
 def _replace_all(text: Column, pattern: str, pseudonym) -> Column:
@@ -162,9 +168,11 @@ def identifier_shapes(frame: DataFrame, text: str, keys: list[str]) -> DataFrame
 
     Tokens are counted before the allow-list so a frequent one is handled once.
     """
+    # A plain substring test spares most texts the expression search.
     found = F.array(*[
-        F.struct(F.lit(name).alias("shape"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("tokens"))
-        for name, pattern in SHAPES.items()])
+        F.struct(F.lit(name).alias("shape"), F.when(
+            F.contains(F.col(text), F.lit(MARKERS[name])), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        ).alias("tokens")) for name, pattern in SHAPES.items()])
     return (
         frame.select(*keys, F.explode(found).alias("s"))
         .select(*keys, "s.shape", F.explode("s.tokens").alias("token"))

@@ -14,8 +14,23 @@ from pyspark.sql import functions as F
 from ledgerloom.sources import bill_columns as rules
 
 
+# A table this small may arrive as one unsplittable file; one cheap shuffle then
+# keeps every core busy.  Anything larger is read as it lies, with no shuffle.
+SPREAD_BELOW_BYTES = 1 << 30
+SPREAD_BY = {
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+    "orders": ["o_orderkey"], "customer": ["c_custkey"], "part": ["p_partkey"], "events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"],
+    "conversations": ["conv_id", "turn"],
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in SPREAD_BY:
+        size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        if size < SPREAD_BELOW_BYTES:
+            return frame.repartition(spark.sparkContext.defaultParallelism, *SPREAD_BY[name])
+    return frame
 
 
 def bill(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -35,15 +35,13 @@ JOIN_KEYS = {
 }
 
 
-def _guid(seed: str) -> str:
-    """Text shaped like a GUID, from the md5 of a seed expression."""
-    m = f"md5({seed})"
+def _guid(m: str) -> str:
+    """Text shaped like a GUID, from a digest column."""
     return (f"concat(substr({m}, 1, 8), '-', substr({m}, 9, 4), '-', substr({m}, 13, 4), '-', "
             f"substr({m}, 17, 4), '-', substr({m}, 21, 12))")
 
 
-def _code(seed: str) -> str:
-    m = f"upper(md5({seed}))"
+def _code(m: str) -> str:
     return (f"concat(substr({m}, 1, 4), '-', substr({m}, 5, 4), '-', substr({m}, 9, 3), '-', "
             f"substr({m}, 12, 3))")
 
@@ -172,17 +170,20 @@ COLUMNS = {
         WHEN 5 THEN '{"Redundancy":"LRS","StorageClass":null,"color":"red"}' END""",
     "SkuPriceDetails": "CASE WHEN x_SchemaEra = '1.2' THEN sku_json END",
     "x_SkuDetails": "CASE WHEN x_SchemaEra <> '1.2' THEN sku_json END",
-    "account_guid": _guid("concat('account-', CAST(c_nationkey AS STRING))"),
+    "account_digest": "md5(concat('account-', CAST(c_nationkey AS STRING)))",
+    "account_guid": _guid("account_digest"),
     "BillingAccountId": "concat('/billing/accounts/', account_guid)",
     "BillingAccountName": "n_name",
     "BillingAccountType": """CASE WHEN k % 457 = 5 THEN NULL WHEN x_SchemaEra <> '1.0r2' OR k % 9 = 0
         THEN 'Billing Profile' END""",
-    "sub_guid": _guid("concat('sub-', c_mktsegment)"),
+    "sub_digest": "md5(concat('sub-', c_mktsegment))",
+    "sub_guid": _guid("sub_digest"),
     "SubAccountId": "CASE WHEN k % 29 <> 0 THEN concat('/sub/', sub_guid) END",
     "SubAccountName": "c_mktsegment",
     "SubAccountType": "CASE WHEN x_SchemaEra = '1.2' THEN 'Subscription' END",
     "x_ResourceGroupName": "CASE WHEN k % 2 = 0 THEN concat('RG-', c_mktsegment) ELSE lower(concat('RG-', c_mktsegment)) END",
-    "x_BillingProfileCode": _code("concat('profile-', CAST(c_nationkey AS STRING))"),
+    "profile_digest": "upper(md5(concat('profile-', CAST(c_nationkey AS STRING))))",
+    "x_BillingProfileCode": _code("profile_digest"),
     "x_InvoiceSectionId": """concat('section ', x_BillingProfileCode, ' of ', account_guid)""",
     "x_BillingAccountName": "n_name",
     "x_CustomerName": "CASE WHEN k % 3 = 0 THEN concat('Owner of ', c_mktsegment) END",
@@ -191,8 +192,8 @@ COLUMNS = {
 }
 
 # The columns a full bill carries, in a fixed order (helpers left out).
-HELPERS = """k charge_month next_month third_party team account_guid sub_guid sku_json
-    reference_invoice""".split()
+HELPERS = """k charge_month next_month third_party team account_digest account_guid sub_digest sub_guid
+    profile_digest sku_json reference_invoice""".split()
 FULL_BILL = [c for c in COLUMNS if c not in HELPERS]
 
 _WORD = re.compile(r"'[^']*'|[A-Za-z_]\w*")
