@@ -116,8 +116,10 @@ def invoice_shared_keys(bill: DataFrame, invoices: DataFrame) -> DataFrame:
 def period_match(bill: DataFrame, periods: DataFrame) -> DataFrame:
     """Every period pair on the bill against the declared ones, at civil-date grain."""
     pairs = (
-        bill.groupBy(civil("BillingPeriodStart").alias("PeriodStart"), civil("BillingPeriodEnd").alias("PeriodEnd"))
-        .agg(rows().alias("n"))
+        # Counted on the raw values first: the text step then sees a few pairs, not the bill.
+        bill.groupBy("BillingPeriodStart", "BillingPeriodEnd").agg(rows().alias("n"))
+        .groupBy(civil("BillingPeriodStart").alias("PeriodStart"), civil("BillingPeriodEnd").alias("PeriodEnd"))
+        .agg(F.sum("n").alias("n"))
     )
     # Duplicate declarations multiply the row count, as a join on the rows would.
     declared = (
