@@ -47,8 +47,8 @@ def _code(m: str) -> str:
 
 
 _MONTH_START = "make_date(year({0}), month({0}), 1)"
-_NEXT_MONTH = ("make_date(year({0}) + CASE WHEN month({0}) = 12 THEN 1 ELSE 0 END, "
-               "CASE WHEN month({0}) = 12 THEN 1 ELSE month({0}) + 1 END, 1)")
+# One reference to the date: filters on it are copied down to the scan as written.
+_NEXT_MONTH = "CAST({0} + INTERVAL '1' MONTH AS DATE)"
 _YM = ("concat(CAST(year({0}) AS STRING), '-', "
        "lpad(CAST(month({0}) AS STRING), 2, '0'))")
 
@@ -69,7 +69,7 @@ COLUMNS = {
     "x_Synthetic": "l_linestatus = 'O'",
     "x_FixtureId": "concat('drop-', CAST(year(l_shipdate) AS STRING))",
     "BillingCurrency": "CASE WHEN r_name = 'EUROPE' THEN 'EUR' ELSE 'USD' END",
-    "next_month": _NEXT_MONTH.format("l_shipdate"),
+    "next_month": _NEXT_MONTH.format("charge_month"),
     "BillingPeriodStart": "CASE WHEN ChargeClass = 'Correction' THEN next_month ELSE charge_month END",
     "BillingPeriodEnd": _NEXT_MONTH.format("BillingPeriodStart"),
     "ListCost": "CAST(l_extendedprice AS DECIMAL(15,2))",
