@@ -4,10 +4,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from ledgerloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-JOBS = entry.queries()
+JOBS = catalogue.queries()
 
 
 def plan(frame) -> str:

@@ -11,9 +11,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 import compare  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from ledgerloom.plans import catalogue  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-JOBS, SQL = entry.queries(), entry.oracle_sql()
+JOBS, SQL = catalogue.queries(), catalogue.oracle_sql()
 
 
 @pytest.fixture(scope="module")
