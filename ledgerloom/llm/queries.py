@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ledgerloom.llm import mixing
 from ledgerloom.llm.common import table
+from ledgerloom.llm.exact_search import top_k
+from ledgerloom.llm.language import language_of_documents
 from ledgerloom.llm.mixing import mix
+from ledgerloom.llm.multi_index import neighbours
 from ledgerloom.llm.near_dedup import near_duplicates
 from ledgerloom.llm.sharding import reshard
 
 
+def op1_exact_top_k(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"))
+
+
+def op2_multi_index(spark, sf_dir):
+    return neighbours(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"))
+
+
 def op3_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark, sf_dir):
+    return language_of_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,6 +38,6 @@ def op10_sharding(spark, sf_dir):
     return reshard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op8_near_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_multi_index, op3_mixing, op6_language_id, op8_near_dedup, op10_sharding)}
 
 ORACLE = {"op3_mixing": mixing.oracle()}
