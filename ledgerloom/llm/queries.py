@@ -11,6 +11,7 @@ from ledgerloom.llm.language import language_of_documents
 from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.multi_index import neighbours
 from ledgerloom.llm.near_dedup import near_duplicates
+from ledgerloom.llm.scoring import score_documents
 from ledgerloom.llm.sharding import reshard
 
 
@@ -26,6 +27,10 @@ def op3_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     return language_of_documents(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,6 @@ def op10_sharding(spark, sf_dir):
     return reshard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_multi_index, op3_mixing, op6_language_id, op8_near_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_multi_index, op3_mixing, op4_lm_scoring, op6_language_id, op8_near_dedup, op10_sharding)}
 
 ORACLE = {"op3_mixing": mixing.oracle()}

@@ -71,7 +71,7 @@ class Best:
 def per_block(rows: DataFrame, queries: DataFrame, search: Callable) -> DataFrame:
     """search(row ids, row vectors, queries as a table) for every pair of a shard and a block of queries."""
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key, left, right):
         if not left.num_rows or not right.num_rows:
             return answer([], [], [])
         return search(*matrix(left), right)
