@@ -12,6 +12,7 @@ from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.multi_index import neighbours
 from ledgerloom.llm.near_dedup import near_duplicates
 from ledgerloom.llm.scoring import score_documents
+from ledgerloom.llm.sentence_pieces import Pieces, decode, default_model, encode
 from ledgerloom.llm.sharding import reshard
 
 
@@ -31,6 +32,13 @@ def op4_lm_scoring(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_sentence_pieces(spark, sf_dir):
+    pieces = Pieces.load(default_model())
+    encoded = decode(encode(table(spark, sf_dir, "documents"), pieces), pieces)
+    return encoded.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"),
+                          F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op6_language_id(spark, sf_dir):
     return language_of_documents(table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,6 @@ def op10_sharding(spark, sf_dir):
     return reshard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_multi_index, op3_mixing, op4_lm_scoring, op6_language_id, op8_near_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_multi_index, op3_mixing, op4_lm_scoring, op5_sentence_pieces, op6_language_id, op8_near_dedup, op10_sharding)}
 
 ORACLE = {"op3_mixing": mixing.oracle()}
