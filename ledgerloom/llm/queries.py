@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing
+from ledgerloom.llm import mixing, rollups
 from ledgerloom.llm.common import table
 from ledgerloom.llm.exact_search import top_k
 from ledgerloom.llm.language import language_of_documents
+from ledgerloom.llm.licences import scan
 from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.multi_index import neighbours
 from ledgerloom.llm.near_dedup import near_duplicates
 from ledgerloom.llm.scoring import score_documents
 from ledgerloom.llm.sentence_pieces import Pieces, decode, default_model, encode
 from ledgerloom.llm.sharding import reshard
+from ledgerloom.session import ensure_checkpoint_dir
 
 
 def op1_exact_top_k(spark, sf_dir):
@@ -43,14 +47,33 @@ def op6_language_id(spark, sf_dir):
     return language_of_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark, sf_dir):
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_token_rollup(spark, sf_dir):
+    rollup = rollups.Rollup(spark, f"{ensure_checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    batches = rollups.document_batches(table(spark, sf_dir, "documents"))
+    for number in (1, 2, 2, 3):  # the second is sent twice and counts once
+        rollup.commit(batches[number - 1], number)
+    return rollup.totals()
+
+
 def op10_sharding(spark, sf_dir):
     return reshard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_multi_index, op3_mixing, op4_lm_scoring, op5_sentence_pieces, op6_language_id, op8_near_dedup, op10_sharding)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_multi_index, op3_mixing, op4_lm_scoring, op5_sentence_pieces, op6_language_id, op7_license_scan,
+                                    op8_near_dedup, op9_token_rollup, op10_sharding, pipeline)}
 
-ORACLE = {"op3_mixing": mixing.oracle()}
+ORACLE = {"op3_mixing": mixing.oracle(), "op9_token_rollup": rollups.ORACLE}
