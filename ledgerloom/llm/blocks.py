@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 PACKED = "block int, packed binary"
 
 
-def pack(docs: DataFrame, block_bytes: int = 12 << 20) -> DataFrame:
+def block_count(docs: DataFrame, block_bytes: int) -> int:
+    """How many blocks of about so many bytes of text the documents fill."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(1, -(-total // block_bytes))
+
+
+def pack(docs: DataFrame, blocks: int, block_bytes: int) -> DataFrame:
     """(block, packed): rows of docs, which has doc_id and text, in compressed Arrow batches by block.
 
     The block depends on id and text alone, so copies and rows without id spread out and reruns agree.
     """
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
     placed = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     columns = docs.columns
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerloom.llm.blocks import pack, per_block, with_answers
+from ledgerloom.llm.blocks import block_count, pack, per_block, with_answers
 
 META = "▁"
 LONGEST = 60
@@ -193,14 +193,17 @@ def segmented(words: DataFrame, pieces: Pieces, keys: list[str], carried: str) -
     return edges.select(*keys, carried, folded(pieces.merges).alias("ids"))
 
 
-def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = 24 << 20) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, text, pieces (ids) of every document."""
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    packed = pack(slim, block_bytes)
+    blocks = block_count(slim, block_bytes)
+    packed = pack(slim, blocks, block_bytes)
     pattern = pieces.word_pattern()
     listed = per_block(packed, _listed(pattern), "block int, word string, place int")
     together = F.floor(F.col("block") / BLOCKS_TOGETHER).cast("int")
-    grouped = listed.groupBy("word", together.alias("range")).agg(F.collect_list(F.struct("block", "place")).alias("places"))
+    # The words of a block become edges in eight tasks or more, so that a task groups its edges in memory.
+    spread = listed.withColumn("range", together).repartition(8 * blocks, "word", "range")
+    grouped = spread.groupBy("word", "range").agg(F.collect_list(F.struct("block", "place")).alias("places"))
     known = segmented(grouped, pieces, ["word", "range"], "places")
     answers = known.select(F.explode("places").alias("at"), "ids").select("at.block", "at.place", "ids")
 
