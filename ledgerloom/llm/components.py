@@ -21,10 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         hooked = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("p")).withColumn("p", F.least("n", "p"))
         hooked = durable(hooked)
-        for _ in range(2):
+        moving = True
+        while moving:  # every chain halves in length each time, so a path of n nodes takes log n joins
             further = hooked.select(F.col("n").alias("m"), F.col("p").alias("q"))
-            hooked = hooked.join(further, F.col("p") == F.col("m")).select("n", F.col("q").alias("p"))
-        hooked = durable(hooked)
+            hooked = durable(hooked.join(further, F.col("p") == F.col("m")).select("n", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
+            moving = not hooked.where("moved").isEmpty()
+            hooked = hooked.select("n", "p")
         labels = durable(labels.join(hooked, F.col("label") == F.col("n"), "left")
                          .select("node", F.coalesce("p", "label").alias("label")))
         left = hooked.select(F.col("n").alias("a"), F.col("p").alias("pa"))
