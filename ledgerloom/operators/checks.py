@@ -117,15 +117,14 @@ def non_negative_checks(frame: DataFrame) -> list[RowCheck]:
 def product_checks(frame: DataFrame) -> list[RowCheck]:
     """price x quantity = cost, corrections exempt.
 
-    Operands are narrowed first: at full width the product would keep only six
-    decimal places, which is the tolerance itself.
+    The product is exact: at full width Spark's own would keep only six decimal
+    places, which is the tolerance itself.
     """
     found = []
     for price, quantity, cost in rulebook.PRODUCTS:
         if not {price, quantity, cost, "ChargeClass"} <= set(frame.columns):
             continue
-        product = F.col(price).cast("decimal(19,9)") * F.col(quantity).cast("decimal(18,6)")
-        off = F.abs(product - F.col(cost)) > F.lit(rulebook.PRODUCT_TOLERANCE).cast("decimal(7,6)")
+        off = _product_is_off(price, quantity, cost)
         scope = compile_condition(("ne", "ChargeClass", "Correction"), True, set())
         found.append(RowCheck(
             f"METRIC-product-{cost}", FAIL, (price, quantity, cost, "ChargeClass"), _false(scope & off),
@@ -133,6 +132,27 @@ def product_checks(frame: DataFrame) -> list[RowCheck]:
     return found
 
 
+def _product_is_off(price: str, quantity: str, cost: str) -> Column:
+    """Whether price x quantity is further from cost than the tolerance, with no operand rounded.
+
+    Whole and fractional parts multiply within 38 digits; the whole parts of the difference are added apart from the
+    fractions, so nothing is cut on the way.
+    """
+    one = F.lit(1).cast("decimal(1,0)")
+
+    def parts(name: str) -> tuple[Column, Column]:
+        value = F.col(name).cast("decimal(38,18)")
+        return F.floor(value).cast("decimal(19,0)"), F.pmod(value, one).cast("decimal(18,18)")
+
+    (p, p_rest), (q, q_rest), (c, c_rest) = parts(price), parts(quantity), parts(cost)
+    mixed = [p * q_rest, q * p_rest]
+    whole = (p * q).cast("decimal(38,0)") + sum(F.floor(m).cast("decimal(38,0)") for m in mixed) - c
+    fraction = sum(F.pmod(m, one).cast("decimal(20,18)") for m in mixed) + (p_rest * q_rest).cast("decimal(20,18)") - c_rest
+    near = F.when(F.abs(whole) <= 4, whole).cast("decimal(2,0)") + fraction
+    return F.coalesce(F.abs(near) > F.lit(rulebook.PRODUCT_TOLERANCE).cast("decimal(7,6)"),
+                      F.when(F.col(price).isNotNull() & F.col(quantity).isNotNull() & F.col(cost).isNotNull(), True))
+
+
 def cross_column_checks(frame: DataFrame) -> list[RowCheck]:
     """Values legal on their own that another column's value forbids."""
     frequency = compile_condition(

@@ -1,6 +1,6 @@
 """A versioned rule table derived from the driver tables.
 
-A column is a part, a tag is a year in which the part shipped in bulk, and the
+A column is a part, a tag is a year in which the part shipped, and the
 sentences come from the line numbers it shipped under.  The table grows with
 lineitem; every array in it is bounded (at most seven sentences, six values).
 """
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.sources.bill_adapter import table
 
-BULK = 44
 BEFORE, AFTER = "v1998", "v1999"
 
 # Sentence per line number, as SQL text both engines read.
@@ -36,7 +35,7 @@ ATTRIBUTES = {
 
 def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     shipped = (
-        table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= BULK)
+        table(spark, sf_dir, "lineitem")
         .groupBy("l_partkey", F.year("l_shipdate").alias("year"))
         .agg(F.sum("l_linenumber").alias("level_code"), F.max("l_returnflag").alias("top_flag"),
              F.sort_array(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("allowed_values"),
@@ -75,7 +74,7 @@ shipped AS (
   SELECT l_partkey, year(l_shipdate) AS year, sum(l_linenumber) AS level_code, max(l_returnflag) AS top_flag,
          list_sort(list(DISTINCT l_returnflag || l_linestatus)) AS allowed_values,
          list_sort(list(DISTINCT l_linenumber)) AS numbers
-  FROM lineitem WHERE l_quantity >= {BULK} GROUP BY ALL),
+  FROM lineitem GROUP BY ALL),
 named AS (
   SELECT *, 'v' || year AS tag, year AS tag_order, p_type AS dataset, 'col_' || p_partkey AS column_id
   FROM shipped JOIN part ON l_partkey = p_partkey),

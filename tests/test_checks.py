@@ -191,3 +191,16 @@ def test_declared_schema_nullability(spark):
 def test_unresolved_column_suggests_a_name(bill):
     with pytest.raises(Exception, match="UNRESOLVED_COLUMN.WITH_SUGGESTION"):
         bill.select("EffectivCost").collect()
+
+
+def test_price_times_quantity_is_exact(spark):
+    from decimal import Decimal
+
+    from ledgerloom.operators.checks import _product_is_off
+
+    rows = [("0.0000000123", "10000000", "0.123", False), ("0.0000000123", "10000000", "0.124", True),
+            ("3", "1000000000000000000", "3000000000000000000", False), ("-1.5", "2.5", "-3.75", False),
+            ("-1.5", "2.5", "-3.750002", True), ("0.1", "0.1", "0.0100009", False)]
+    frame = spark.createDataFrame([(*map(Decimal, r[:3]), r[3]) for r in rows],
+                                  "p decimal(38,18), q decimal(38,18), c decimal(38,18), off boolean")
+    assert all(r.off == r.found for r in frame.withColumn("found", _product_is_off("p", "q", "c")).collect())

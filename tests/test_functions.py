@@ -146,3 +146,13 @@ def test_fingerprint_ignores_order_and_partitions(spark):
     assert len(prints) == 1
     changed = derive.content_fingerprint(frame.withColumn("v", F.lit("other")), ["era"]).first()
     assert tuple(changed) not in prints
+
+
+@pytest.mark.parametrize(("amounts", "middle"), [
+    (["0.00001", "0.00002", "0.00003", "0.001234", "0.004"], 0.00003),
+    (["1000000000000000000", "-5", "-0.5", "0"], -0.25),
+    (["-0.000000000000000003", "-1.5", "-2"], -1.5),
+])
+def test_exact_median_rounds_nothing(spark, amounts, middle):
+    frame = spark.createDataFrame([("k", Decimal(a)) for a in amounts], "k string, v decimal(38,18)")
+    assert exact_median(frame, ["k"], "v", "m").first()["m"] == middle
