@@ -36,16 +36,26 @@ def latest_delivery(drops: DataFrame, month: str, version: list[str]) -> DataFra
     )
     # One row per calendar month: small by nature, and Spark checks before broadcasting.
     return (
-        drops.withColumn("_version", F.struct(*version)).join(newest, month)
-        .where(F.col("_version") == F.col("_newest")).drop("_version", "_newest")
+        drops.withColumn("_version", F.struct(*version))
+        .join(newest.withColumnRenamed(month, "_month"), F.col(month).eqNullSafe(F.col("_month")))
+        .where(F.col("_version").eqNullSafe(F.col("_newest"))).drop("_version", "_newest", "_month")
     )
 
 
+def _stored(spark: SparkSession, target: str) -> DataFrame | None:
+    """The table, or None where none has been written; any other fault is the caller's to see."""
+    try:
+        return spark.read.parquet(target)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def _stored_versions(spark: SparkSession, target: str, month: str, version: list[str]) -> DataFrame | None:
     """Newest version held per month, or None before the first delivery."""
-    try:
-        held = spark.read.parquet(target)
-    except AnalysisException:
+    held = _stored(spark, target)
+    if held is None:
         return None
     return held.groupBy(F.col(month).cast("string").alias("_month")).agg(F.max(F.struct(*version)).alias("_held"))
 
@@ -63,7 +73,7 @@ def write_month_replacements(drops: DataFrame, target: str, checkpoint: str, mon
         newest = latest_delivery(batch, month, version)
         held = _stored_versions(batch.sparkSession, target, month, version)
         if held is not None:
-            stale = (newest[month].cast("string") == held["_month"]) & (F.struct(*[newest[v] for v in version])
+            stale = newest[month].cast("string").eqNullSafe(held["_month"]) & (F.struct(*[newest[v] for v in version])
                                                                          < held["_held"])
             newest = newest.join(held, stale, "left_anti")
         (newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -107,19 +117,19 @@ def write_with_late_rows(events: DataFrame, keys: list[str], at: str, amount: st
     """Daily totals kept up to date, with rows beyond the bound set aside, not lost.
 
     A row is late when its day lies further behind the newest day seen so far,
-    in this batch or an earlier one, than the bound.  Both outputs are kept per
+    in this batch or an earlier one, than the bound; a row without a time belongs
+    to no day and is set aside with them.  Both outputs are kept per
     batch, so a retried batch overwrites what it wrote.
     """
     def split(batch: DataFrame, batch_id: int) -> None:
         newest = batch.agg(F.max(F.to_date(at)).alias("_newest"))
-        try:
-            earlier = batch.sparkSession.read.parquet(totals).where(F.col("batch_id") < batch_id)
+        written = _stored(batch.sparkSession, totals)
+        if written is not None:
+            earlier = written.where(F.col("batch_id") < batch_id)
             newest = newest.unionByName(earlier.agg(F.max("day").alias("_newest"))).agg(
                 F.max("_newest").alias("_newest"))
-        except AnalysisException:
-            pass  # nothing written yet
         judged = with_one_row(batch, newest).withColumn(
-            "_late", F.datediff("_newest", F.to_date(at)) > lateness_days)
+            "_late", F.coalesce(F.datediff("_newest", F.to_date(at)) > lateness_days, F.lit(True)))
         on_time = judged.where(~F.col("_late")).drop("_late", "_newest")
         (daily_window(on_time, keys, at, amount)
          .write.mode("overwrite").parquet(f"{totals}/batch_id={batch_id}"))

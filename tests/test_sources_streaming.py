@@ -173,3 +173,23 @@ def test_first_seen_and_window_streams(spark, tmp_path):
     assert {(r["meter"], r["row_count"]) for r in daily} == {("r1", 5), ("r2", 3)}
     drift = D.row_count_drift(D.daily_window(spark.read.parquet(str(landing)), ["meter"], "at", "cost"), ["meter"])
     assert all(r["previous"] is None for r in drift.collect())
+
+
+def test_latest_delivery_keeps_rows_without_month(spark):
+    from ledgerloom.streaming.drops import latest_delivery
+
+    rows = spark.createDataFrame([(None, 1, "old"), (None, 2, "new"), ("m", 1, "kept")], "month string, v int, x string")
+    assert {r.x for r in latest_delivery(rows, "month", ["v"]).collect()} == {"new", "kept"}
+
+
+def test_rows_without_time_are_set_aside(spark, tmp_path):
+    from ledgerloom.streaming.drops import write_with_late_rows
+
+    source = str(tmp_path / "in")
+    spark.sql("SELECT timestamp_ntz'2026-01-05 00:00:00' AS at, 'k' AS k, CAST(1 AS decimal(38,18)) AS amount"
+              " UNION ALL SELECT NULL, 'k', CAST(2 AS decimal(38,18))").write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    totals, late = str(tmp_path / "totals"), str(tmp_path / "late")
+    write_with_late_rows(stream, ["k"], "at", "amount", 3, totals, late, str(tmp_path / "check")).awaitTermination()
+    assert spark.read.parquet(totals).selectExpr("sum(row_count)").first()[0] == 1
+    assert spark.read.parquet(late).count() == 1
