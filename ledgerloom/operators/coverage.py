@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom import labels
 from ledgerloom.functions.columns import charge_day, display, ratio, reads, rows, total, usage
 from ledgerloom.operators.reconcile import CENT_TOLERANCE, civil
 
@@ -52,13 +53,13 @@ def eligibility_universe(bill: DataFrame) -> DataFrame:
     """Every row in exactly one bucket; a null flag is never read as ineligible."""
     flag, category = F.col("x_CommitmentEligible"), F.col("ChargeCategory")
     bucket = (
-        F.when(flag, "1 · eligible (coverable demand)")
-        .when(~flag, "2 · ineligible usage (documented rule)")
-        .when((category == "Usage") & F.expr(UNUSED), "3 · NULL — unused commitment (not demand)")
-        .when(category != "Usage", "4 · NULL — concept n/a (non-usage row)")
+        F.when(flag, labels.BUCKET_ELIGIBLE)
+        .when(~flag, labels.BUCKET_INELIGIBLE)
+        .when((category == "Usage") & F.expr(UNUSED), labels.BUCKET_UNUSED)
+        .when(category != "Usage", labels.BUCKET_NON_USAGE)
         .when(F.col("x_SchemaEra") != "1.2",
-              F.concat(F.lit("5 · NULL — era predates the flag ("), "x_SchemaEra", F.lit(")")))
-        .otherwise("6 · NULL — unexplained (should be empty)"))
+              F.replace(F.lit(labels.BUCKET_ERA), F.lit("{era}"), F.col("x_SchemaEra")))
+        .otherwise(labels.BUCKET_UNEXPLAINED))
     return (
         bill.groupBy(bucket.alias("eligibility_bucket"), "BillingCurrency")
         .agg(rows().alias("rows_"), display(total("EffectiveCost")).alias("effective_cost"))
@@ -89,13 +90,11 @@ def term_closure(bill: DataFrame, contracts: DataFrame) -> DataFrame:
         .select("CommitmentDiscountId", "BillingCurrency", display(F.col("purchased")).alias("purchase_billed"),
                 display(F.col("amortised")).alias("amortised_effective"),
                 display(F.col("contracted")).alias("contract_cost"), "term_start", "term_end",
-                F.when(F.col("known").isNull(),
-                       "ORPHAN — cost rows but no contract record; term unknown, closure not evaluable")
+                F.when(F.col("known").isNull(), labels.TERM_ORPHAN)
                 .when((F.col("last_seen") < F.col("term_end")) & (amortised_gap >= tolerance),
-                      "IN PROGRESS — export covers part of the term; short export, not shortfall")
-                .when((amortised_gap < tolerance) & (purchased_gap < tolerance),
-                      "CLOSES EXACTLY — amortised = purchased = contract, to the cent")
-                .otherwise("REVIEW — amounts do not reconcile within the observed term").alias("verdict"))
+                      labels.TERM_IN_PROGRESS)
+                .when((amortised_gap < tolerance) & (purchased_gap < tolerance), labels.TERM_CLOSES)
+                .otherwise(labels.TERM_REVIEW).alias("verdict"))
         .orderBy("CommitmentDiscountId")
     )
 

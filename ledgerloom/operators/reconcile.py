@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom import labels
 from ledgerloom.functions.columns import charge_day, display, reads, rows, total
 from ledgerloom.functions.joins import by_civil_day, lookup_join
 
@@ -53,13 +54,11 @@ def reconciling_panels(bill: DataFrame) -> DataFrame:
     """Every row in one of five panels, in order of precedence."""
     category = F.col("ChargeCategory")
     panel = (
-        F.when(F.col("InvoiceId").isNotNull(), "1 · Invoiced (ties in Q1)")
-        .when(F.col("x_InvoiceId").isNotNull(),
-              "2 · Legacy era — x_InvoiceId only, no v1.4 invoice_detail row")
-        .when(category.isin("Tax", "Credit", "Adjustment"),
-              "3 · Not yet invoiced — account-level (Tax/Credit/Adjustment)")
-        .when(category == "Purchase", "4 · Not yet invoiced — commitment purchases")
-        .otherwise("5 · Not yet invoiced — usage (open period)"))
+        F.when(F.col("InvoiceId").isNotNull(), labels.PANEL_INVOICED)
+        .when(F.col("x_InvoiceId").isNotNull(), labels.PANEL_LEGACY)
+        .when(category.isin(labels.ACCOUNT_LEVEL), labels.PANEL_ACCOUNT)
+        .when(category == "Purchase", labels.PANEL_PURCHASE)
+        .otherwise(labels.PANEL_OPEN))
     return (
         bill.groupBy(panel.alias("ReconcilingPanel"), "BillingCurrency",
                      F.date_format("BillingPeriodStart", "yyyy-MM").alias("BillingPeriod"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom import labels
 from ledgerloom.functions.columns import (
     Span, charge_day, display, not_correction, ratio, reads, resource_key, rows, team, total, usage)
 from ledgerloom.functions.joins import lookup_join
@@ -253,7 +254,7 @@ def savings_ladder(bill: DataFrame, span: Span) -> DataFrame:
 @reads("ChargeCategory", "ChargePeriodStart", "BillingCurrency", "CommitmentDiscountId",
        "ListCost", "ContractedCost", "EffectiveCost")
 def savings_by_coverage(bill: DataFrame, span: Span) -> DataFrame:
-    covered = F.when(F.col("CommitmentDiscountId").isNotNull(), "commitment-covered").otherwise("on-demand")
+    covered = F.when(F.col("CommitmentDiscountId").isNotNull(), labels.COVERED).otherwise(labels.ON_DEMAND)
     lst, con, eff = total("ListCost"), total("ContractedCost"), total("EffectiveCost")
     return (
         bill.where(usage() & span.on("ChargePeriodStart"))
@@ -330,6 +331,8 @@ def commitment_utilisation(bill: DataFrame, contracts: DataFrame) -> DataFrame:
         F.col("ContractCommitmentPeriodEnd").cast("date").alias("term_end"))
     both = F.col("used") + F.coalesce("unused", F.lit(0))
     pct = ratio(F.col("used"), both)
+    short = F.replace(F.lit(labels.USE_SHORT), F.lit("{observed}"), F.col("days_observed").cast("string"))
+    short = F.replace(short, F.lit("{term}"), F.col("term_days").cast("string"))
     return (
         observed.join(terms, "CommitmentDiscountId", "left")
         .withColumn("term_days", F.datediff("term_end", "term_start"))
@@ -341,11 +344,7 @@ def commitment_utilisation(bill: DataFrame, contracts: DataFrame) -> DataFrame:
                 display(F.col("unused")).alias("unused_effective"),
                 display(both).alias("used_plus_unused"),
                 display(F.col("contract_cost")).alias("contract_commitment_cost"),
-                F.when(F.col("term_days").isNull(), "TERM UNKNOWN — no contract record, not evaluable")
-                .when(F.col("days_observed") < F.col("term_days"),
-                      F.format_string("NOT EVALUABLE — window covers %d of %d term days "
-                                      "(would measure export length, not performance)",
-                                      "days_observed", "term_days"))
-                .otherwise(F.concat(F.lit("utilisation "), pct.cast("string"),
-                                    F.lit("% of term — evaluable, term fully observed"))).alias("verdict"))
+                F.when(F.col("term_days").isNull(), labels.USE_UNKNOWN)
+                .when(F.col("days_observed") < F.col("term_days"), short)
+                .otherwise(F.replace(F.lit(labels.USE_RATE), F.lit("{rate}"), pct.cast("string"))).alias("verdict"))
     )
