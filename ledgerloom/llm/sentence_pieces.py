@@ -26,6 +26,7 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -208,37 +209,51 @@ def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = 16 << 20) -> Data
     answers = known.select(F.explode("places").alias("at"), "ids").select("at.block", "at.place", "ids")
 
     def finished(parts: Iterator[pa.Table], answers: pa.Table) -> pa.Table:
+        # Ids stay in arrays: a block has too many words for a Python list each.
         words_in = re.compile(pattern)
         number: defaultdict = defaultdict(count().__next__)
         held = []
         for rows in parts:
-            texts = rows.column("text").to_pylist()
-            held.append((rows, texts, [np.fromiter(map(number.__getitem__, words_in.findall(_written(t or ""))), np.int32)
-                                       for t in texts]))
-        own: list = [None] * len(number)
-        place = answers.column("place").to_numpy()
-        known = answers.column("ids").to_pylist()
+            numbers = [np.fromiter(map(number.__getitem__, words_in.findall(_written(t or ""))), np.int32)
+                       for t in rows.column("text").to_pylist()]
+            held.append((rows, np.concatenate([np.zeros(0, np.int32), *numbers]),
+                         np.r_[0, np.cumsum([len(n) for n in numbers], dtype=np.int64)]))
         words = _sent(number)
-        for p, ids in zip(place.tolist(), known, strict=True):
-            own[number[words[p]]] = ids if min(ids) >= 0 else [
-                j for i in ids for j in ([i] if i >= 0 else pieces.as_bytes(chr(-1 - i)))]
-        for word, i in number.items():
-            if own[i] is None:
-                own[i] = pieces.merged(word)
-        size = np.array([len(ids) for ids in own], np.int64)
-        values = np.fromiter(chain.from_iterable(own), np.int32, int(size.sum()))
-        start = np.cumsum(size) - size
+        slot = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        place = answers.column("place").to_numpy()
+        known = pa.concat_arrays(answers.column("ids").chunks or [pa.array([], pa.list_(pa.int32()))])
+        values, ends = known.flatten().to_numpy(), known.offsets.to_numpy().astype(np.int64)
+        ends = ends - ends[0]
+        start, size = np.zeros(len(number), np.int64), np.full(len(number), -1, np.int64)
+        start[slot[place]], size[slot[place]] = ends[:-1], np.diff(ends)
+        # Words with characters that are no pieces, and words too long to be sent.
+        strange = np.unique(np.searchsorted(ends, np.flatnonzero(values < 0), side="right") - 1)
+        added = {int(slot[place[k]]): [j for i in values[ends[k]:ends[k + 1]].tolist()
+                                       for j in ([i] if i >= 0 else pieces.as_bytes(chr(-1 - i)))] for k in strange.tolist()}
+        if (size < 0).any():
+            added |= {i: pieces.merged(word) for word, i in number.items() if size[i] < 0}
+        extra, at = list(chain.from_iterable(added.values())), len(values)
+        for i, ids in added.items():
+            start[i], size[i], at = at, len(ids), at + len(ids)
+        values = np.concatenate([values, np.array(extra, np.int32)])
+        del number, words, slot, known
         out = []
-        for rows, texts, numbers in held:
-            flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-            each = size[flat]
-            end = np.cumsum(each)
-            ids = values[np.repeat(start[flat] - (end - each), each) + np.arange(int(each.sum()))]
-            of_text = np.r_[0, end][np.r_[0, np.cumsum([len(n) for n in numbers])]]
-            lists = pa.ListArray.from_arrays(pa.array(of_text, pa.int32()), pa.array(ids, pa.int32()),
-                                             mask=pa.array([t is None for t in texts]))
-            out.append(pa.table({"doc_id": rows.column("doc_id").combine_chunks(),
-                                 "text": rows.column("text").combine_chunks(), "pieces": lists}))
+        for rows, flat, of_text in held:
+            lists = []
+            # A few texts at a time, as places are eight bytes an id.
+            for low in range(0, rows.num_rows, 64):
+                text_at = of_text[low:low + 65]
+                own = flat[text_at[0]:text_at[-1]]
+                each = size[own]
+                end = np.cumsum(each)
+                ids = values[np.repeat(start[own] - (end - each), each) + np.arange(int(each.sum()))]
+                lists.append(pa.ListArray.from_arrays(
+                    pa.array(np.r_[0, end][text_at - text_at[0]], pa.int32()), pa.array(ids, pa.int32()),
+                    mask=pa.concat_arrays(rows.column("text").slice(low, 64).is_null().chunks)))
+            for low, ids in zip(range(0, rows.num_rows, 64), lists, strict=True):
+                part = rows.slice(low, 64).combine_chunks()
+                out.append(pa.table({"doc_id": part.column("doc_id"), "text": part.column("text"),
+                                     "pieces": pa.chunked_array([ids])}))
         return pa.concat_tables(out)
 
     return with_answers(packed, answers, finished, "doc_id long, text string, pieces array<int>")
@@ -250,11 +265,19 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     columns, parts = encoded.columns, pieces.decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(parts, pa.large_binary())
         for batch in batches:
+            ids = batch.column("pieces")
+            joined = table.take(ids.flatten())  # the bytes of all its pieces, one after the other
+            _, offsets, data = joined.buffers()
+            ends = np.frombuffer(offsets, np.int64, len(joined) + 1, 8 * joined.offset) if len(joined) else np.zeros(1, np.int64)
+            raw = memoryview(b"" if data is None else data)
+            count_of = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            last = ends[np.cumsum(count_of)].tolist()
             texts = []
-            for ids in batch.column("pieces").to_pylist():
-                raw = None if ids is None else b"".join([parts[i] for i in ids])
-                texts.append(None if raw is None else (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
+            for first, end, missing in zip([int(ends[0]), *last], last, ids.is_null().to_pylist(), strict=False):
+                own = bytes(raw[first:end])
+                texts.append(None if missing else (own[1:] if own[:1] == b" " else own).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*columns, "decoded"])
 
     return encoded.mapInArrow(run, StructType(list(encoded.schema.fields)).add("decoded", "string"))
