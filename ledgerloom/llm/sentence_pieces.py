@@ -194,7 +194,7 @@ def segmented(words: DataFrame, pieces: Pieces, keys: list[str], carried: str) -
     return edges.select(*keys, carried, folded(pieces.merges).alias("ids"))
 
 
-def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, text, pieces (ids) of every document."""
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     blocks = block_count(slim, block_bytes)
