@@ -36,25 +36,43 @@ def random_key(*parts: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
 
 
+def _before(frame: DataFrame, group: list[str], place: str, sums: list[str]) -> DataFrame:
+    """group, place and, as _before_<n>, each sum over the earlier places of the group; one window over its places."""
+    earlier = W.partitionBy(*group).orderBy(place).rowsBetween(W.unboundedPreceding, -1)
+    return frame.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate([*group, place])],
+                        *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_before_{n}") for n, s in enumerate(sums)])
+
+
 def running_before(frame: DataFrame, group: list[str], key: str, order: list[str], measures: dict[str, str],
-                   bucket_bits: int = 14) -> DataFrame:
+                   level_bits: tuple[int, ...] = (7, 7)) -> DataFrame:
     """For each row, the sum of each measure over the rows before it in its group, ordered by `key`, then `order`.
 
-    `key` holds 60 uniform random bits.  Its leading bits cut each group into 2**bucket_bits ranges: the sums of the
-    ranges are added up first, then the rows within one range, so no task ever holds a whole group.  measures: name of
-    the new column -> column summed (a row count comes from a column of ones).
+    `key` holds 60 uniform random bits.  Each level's bits cut the ranges of the level before into 2**bits smaller ones.
+    The sums of the ranges are added up level by level, then those of the rows within one smallest range, so no task
+    ever holds a whole group, nor more than 2**bits ranges of it.  measures: name of the new column -> column summed
+    (a row count comes from a column of ones).
     """
-    ranged = frame.withColumn("_range", F.shiftright(key, 60 - bucket_bits))
-    by_range = ranged.groupBy(*group, "_range").agg(*[F.sum(c).alias(f"_all_{n}") for n, c in measures.items()])
-    earlier = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    by_range = by_range.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_range").alias("_gr"),
-        *[F.coalesce(F.sum(f"_all_{n}").over(earlier), F.lit(0)).alias(f"_start_{n}") for n in measures])
-    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
-    joined = ranged.join(by_range, [*same, F.col("_range") == F.col("_gr")], "inner")
-    within = W.partitionBy(*group, "_range").orderBy(key, *order).rowsBetween(W.unboundedPreceding, -1)
-    added = joined.withColumns({n: F.col(f"_start_{n}") + F.coalesce(F.sum(c).over(within), F.lit(0))
-                                for n, c in measures.items()})
+    ends = [sum(level_bits[:i + 1]) for i in range(len(level_bits))]
+    levels = [f"_range{i}" for i in range(len(ends))]
+    ranged = frame.withColumns({r: F.shiftright(key, 60 - e) for r, e in zip(levels, ends, strict=True)})
+    sums = [f"_sum{n}" for n in range(len(measures))]
+    finest = ranged.groupBy(*group, *levels).agg(*[F.sum(c).alias(s) for s, c in zip(sums, measures.values(), strict=True)])
+    starts = finest.select(*group, *levels, *[F.lit(0).cast("long").alias(f"_start{n}") for n in range(len(sums))])
+    for i, level in enumerate(levels):
+        own = [*group, *levels[:i]]
+        at_level = finest.groupBy(*own, level).agg(*[F.sum(s).alias(s) for s in sums])
+        before = _before(at_level, own, level, sums)
+        same = [F.col(g).eqNullSafe(F.col(f"_k{k}")) for k, g in enumerate([*own, level])]
+        starts = starts.join(before, same).select(
+            *group, *levels, *[(F.col(f"_start{n}") + F.col(f"_before_{n}")).alias(f"_start{n}") for n in range(len(sums))])
+    last = levels[-1]
+    starts = starts.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)], F.col(last).alias("_last"),
+                           *[f"_start{n}" for n in range(len(sums))])
+    same = [F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(group)]
+    joined = ranged.join(starts, [*same, F.col(last) == F.col("_last")])
+    within = W.partitionBy(*group, last).orderBy(key, *order).rowsBetween(W.unboundedPreceding, -1)
+    added = joined.withColumns({name: F.col(f"_start{n}") + F.coalesce(F.sum(c).over(within), F.lit(0))
+                                for n, (name, c) in enumerate(measures.items())})
     return added.select(*frame.columns, *measures)
 
 
