@@ -21,7 +21,7 @@ from ledgerloom.llm.language import language_of_documents  # noqa: E402
 from ledgerloom.llm.mixing import mix, source_targets  # noqa: E402
 from ledgerloom.llm.multi_index import neighbours  # noqa: E402
 from ledgerloom.llm.near_dedup import near_duplicates  # noqa: E402
-from ledgerloom.llm.scoring import prefix_code, score_documents  # noqa: E402
+from ledgerloom.llm.scoring import Spelling, prefix_code, score_documents  # noqa: E402
 from ledgerloom.llm.sentence_pieces import Pieces, decode, default_model, encode, segmented  # noqa: E402
 from ledgerloom.llm.sharding import cheapest_transfers, reshard, rewrite_affected  # noqa: E402
 
@@ -186,6 +186,14 @@ def test_scoring(spark, documents, hard, nothing):
     assert score_documents(nothing, table_bits=16).count() == 0
 
 
+def test_a_context_holds_the_whole_word_so_far():
+    # Alike in their last five bytes, so that only the whole word so far tells the two ends apart; the last word repeats.
+    spelling = Spelling([b"abcdefgh", b"xyzdefgh", b"abcdefgh"], prefix_code([1.0] * 256))
+    assert spelling.sign[8] == spelling.sign[17] == 32
+    assert [bool(c[8] != c[17]) for c in spelling.contexts] == [False, False, False, False, True]
+    assert all((c[:9] == c[18:]).all() for c in spelling.contexts)
+
+
 def test_prefix_code_is_complete():
     bits, length = prefix_code([float(i % 7) for i in range(256)])
     assert sum(2.0 ** -n for n in length) == pytest.approx(1)
