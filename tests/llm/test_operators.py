@@ -21,7 +21,7 @@ from ledgerloom.llm.language import language_of_documents  # noqa: E402
 from ledgerloom.llm.mixing import mix, source_targets  # noqa: E402
 from ledgerloom.llm.multi_index import neighbours  # noqa: E402
 from ledgerloom.llm.near_dedup import near_duplicates  # noqa: E402
-from ledgerloom.llm.scoring import Spelling, prefix_code, score_documents  # noqa: E402
+from ledgerloom.llm.scoring import Spelling, prefix_code, score_documents, spelled_words, word_experts  # noqa: E402
 from ledgerloom.llm.sentence_pieces import Pieces, decode, default_model, encode, segmented  # noqa: E402
 from ledgerloom.llm.sharding import cheapest_transfers, reshard, rewrite_affected  # noqa: E402
 
@@ -186,6 +186,40 @@ def test_scoring(spark, documents, hard, nothing):
     assert score_documents(nothing, table_bits=16).count() == 0
 
 
+def test_bits_per_byte_is_a_code_length(spark, documents):
+    letters = np.random.default_rng(3).integers(97, 123, (100, 40), dtype=np.uint8)
+    text = " ".join(bytes(w).decode() for w in letters)
+    i = next(i for i in range(50_000, 60_000) if zlib.crc32(str(i).encode()) % 5 == 1)
+    more = spark.createDataFrame([(i, text)], "doc_id long, text string")
+    got = score_documents(documents.select("doc_id", "text").union(more), table_bits=16).where(f"doc_id = {i}").first()
+    # Random letters: no code of the words can be shorter than they are many.
+    assert got.n_known == 1 and got.bits_per_byte * len(text) > 0.95 * letters.size * math.log2(26)
+
+
+def test_mixed_contexts_alone_beat_an_order_1_spelling(spark, documents):
+    counts, held = Counter(), set()
+    for r in documents.collect():
+        own = [*brute.words(r.text), b""]
+        held.update(own) if zlib.crc32(str(r.doc_id).encode()) % 5 == 1 else counts.update(own)
+    words = [(bytearray(w), counts[w]) for w in sorted(held | set(counts))]
+    costs = spelled_words(spark.createDataFrame(words, "word binary, c long"), 16).collect()
+    after, pairs = Counter(), Counter()
+    for w, c in counts.items():
+        for a, b in zip(b" " + w, w + b" ", strict=True):
+            after[a] += c
+            pairs[a, b] += c
+    mixed = sum(r.cost for r in costs if not r.c)
+    plain = -sum(math.log10((pairs[a, b] + 0.1) / (after[a] + 25.6)) for r in costs if not r.c
+                 for a, b in zip(b" " + bytes(r.word), bytes(r.word) + b" ", strict=True))
+    assert mixed < 0.9 * plain
+    known = np.array([(r.c, -r.cost) for r in costs if r.c])
+    heard = float((10 ** known[:, 1]).sum())
+    # One word of no count stands for all others: every expert's chances add up to one.
+    c, spelled = np.r_[known[:, 0], 0], np.r_[known[:, 1], -5]
+    _, classed = word_experts(c, spelled, sum(counts.values()), len(counts), sum(x == 1 for x in counts.values()), heard)
+    assert [float((10 ** e).sum()) for e in classed] == pytest.approx([1, 1, 1])
+
+
 def test_a_context_holds_the_whole_word_so_far():
     # Alike in their last five bytes, so that only the whole word so far tells the two ends apart; the last word repeats.
     spelling = Spelling([b"abcdefgh", b"xyzdefgh", b"abcdefgh"], prefix_code([1.0] * 256))
