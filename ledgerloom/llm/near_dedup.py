@@ -8,12 +8,13 @@ partner is dropped.  A pair of similarity 0.85 shares a region with probability
 in the deepest regions 1 - (1 - 0.85^4)^32 (over 1 - 1e-10); at 0.8 that is over 1 - 1e-7.
 
 Two passes keep the rows few.  The first compares signatures inside regions and joins nodes whose estimate is within
-`margin` of the threshold into families (4.8 standard errors, so a true link is missed about once in a million).  The
+`margin` of the threshold into families (4.8 standard errors at the asked percent, so a true link is missed about once in a million).  The
 second reads the full shingle sets of the members of families only, compares all of a family exactly, block against
 block, and gives for each task a spanning forest of the confirmed links, never all pairs of a group.
 
 Null or empty text, or white space alone: an empty set, linked with nothing.  A null doc_id is compared like any other
-and names its group only if no member has an id.  Repeated rows are copies.  No documents: no rows.
+and names its group only if no member has an id.  Repeated rows are copies.  No documents: no rows.  A text is found
+again by a hash of its bytes, not by doc_id, so ids may be null or repeat with other texts.
 """
 
 from __future__ import annotations
@@ -49,10 +50,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lanes[full, 0] = np.add.reduceat(values, start)
                 lanes[full, 1] = np.add.reduceat(values * (values >> np.uint64(7)) * _MULTIPLY[0], start)
             yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"), pa.array(count, pa.int64()),
+                part.column("doc_id"), part.column("at"), pa.array(count, pa.int64()),
                 pa.array([lanes[i].tobytes() if count[i] else None for i in range(part.num_rows)], pa.binary()),
                 pa.array([minima[i].tobytes() if count[i] else None for i in range(part.num_rows)], pa.binary()),
-            ], ["doc_id", "n_shingles", "node", "signature"])
+            ], ["doc_id", "at", "n_shingles", "node", "signature"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +116,13 @@ def _similar_signatures(least: float):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    had: set[bytes] = set()
     for batch in batches:
+        fresh = []
+        for node in batch.column("node").to_pylist():
+            fresh.append(node not in had)
+            had.add(node)
+        batch = batch.filter(pa.array(fresh, pa.bool_()))
         for part in pieces(batch, "text"):
             values, at = shingle_sets(part.column("text"))
             yield pa.RecordBatch.from_arrays([
@@ -182,17 +189,22 @@ def _block_pairs(frame: DataFrame, size: str, block_rows: int):
         lambda k: F.concat_ws("-", F.least(k, F.col("_own")), F.greatest(k, F.col("_own"))))))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.15, region_rows: int = 1024,
+def near_duplicates(docs: DataFrame, percent: int = 85, margin: float | None = None, region_rows: int = 1024,
                     family_rows: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| on their sets of distinct 5-word shingles.
     """
+    if margin is None:
+        margin = 4.8 * (percent / 100 * (1 - percent / 100) / MINIMA) ** 0.5
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = durable(ids.mapInArrow(_signatures, "doc_id long, n_shingles long, node binary, signature binary"))
+    ids = ids.withColumn("at", F.xxhash64("text", F.octet_length("text")))
+    signed = durable(ids.mapInArrow(_signatures, "doc_id long, at long, n_shingles long, node binary, signature binary"))
     slim = signed.select("doc_id", "n_shingles", "node")
     nodes = durable(signed.where("node IS NOT NULL").groupBy("node")
-                    .agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature")))
+                    .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")).alias("one"),
+                         F.first("signature").alias("signature"))
+                    .select("node", F.col("one.doc_id").alias("first_id"), "one.at", "signature"))
 
     places = nodes.select("node", "signature").mapInArrow(
         _prefixes, "node binary, o int, p2 long, p3 long, p4 long")
@@ -213,7 +225,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.15, re
                 .mapInArrow(_similar_signatures(percent / 100 - margin), "a binary, b binary"))
     families = components(compared)
 
-    confirmed = components(_exact_links(ids, nodes, slim, families, percent, family_rows))
+    confirmed = components(_exact_links(ids, nodes, families, percent, family_rows))
     named = nodes.select("node", "first_id").join(confirmed, "node", "left").select(
         "node", "first_id", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
@@ -223,12 +235,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.15, re
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"))
 
 
-def _exact_links(ids, nodes, slim, families, percent: int, family_rows: int) -> DataFrame:
+def _exact_links(ids, nodes, families, percent: int, family_rows: int) -> DataFrame:
     """Links between members of a family that their full shingle sets confirm, as a forest for each task."""
     size = families.groupBy("label").agg(F.count("*").alias("n"))
-    members = families.join(size, "label").join(nodes.select("node", "first_id"), "node")
-    # One document stands for a node; by its id where it has one, so that each text is read and sent once.
-    texts = ids.join(members.select("node", F.col("first_id").alias("doc_id"), "label", "n"), "doc_id")
+    members = families.join(size, "label").join(nodes.select("node", "first_id", F.col("at").alias("_at")), "node")
+    # One document stands for a node, found by its text's hash and its id or the lack of one; copies of that row all
+    # meet it and a task keeps one of them.
+    texts = ids.join(members, (F.col("at") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     texts = texts.select("node", F.struct("label", "n").alias("region"), "text")
     sets = texts.mapInArrow(_sets, "node binary, region struct<label binary, n bigint>, shingles binary")
     sets = sets.select("node", "region.label", "region.n", "shingles")

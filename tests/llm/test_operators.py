@@ -79,6 +79,20 @@ def test_near_duplicates_against_brute_force(spark, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_without_or_with_repeated_ids(spark):
+    w = [f"t{i}" for i in range(60)]
+    a, bridge, c = w, [*w[:-4], "x1", "x2", "x3", "x4"], ["y1", "y2", "y3", "y4", *w[4:-4], "x1", "x2", "x3", "x4"]
+    z = [f"z{i}" for i in range(60)]
+    rows = [(1, a), (None, bridge), (None, bridge), (2, c), (None, z), (None, [*z[:-1], "end"]),
+            (7, [f"q{i}" for i in range(60)]), (7, [f"r{i}" for i in range(60)]), (8, [*[f"r{i}" for i in range(59)], "end"])]
+    got = near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+    # 1 and 2 are linked only through the rows without id.
+    one, other = brute.shingle_set(" ".join(a)), brute.shingle_set(" ".join(c))
+    assert len(one & other) < 0.85 * len(one | other)
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == [(1, 1), (2, 1), (7, 7), (7, 7), (8, 7)]
+    assert sorted(str(r.component_id) for r in got if r.doc_id is None) == ["1", "1", "None", "None"]
+
+
 def test_near_duplicates_hard_rows(hard, nothing):
     got = near_duplicates(hard).collect()
     assert len(got) == len(HARD)
