@@ -8,8 +8,8 @@ numbers alone.  So a batch that failed half-way is sent again, and one that is i
 
 Batches are numbered in order and sent in order.  In one batch the last change of a document and version (largest seq)
 holds.  A delete of what is not there counts nothing.  Null source or lang is a group of its own; a null count is 0; a
-null doc_id cannot be looked up later, so such rows are left to the caller to name (an error is raised).  Repeated rows
-are one change.  An empty batch commits and adds nothing.
+null doc_id cannot be looked up later, so commit raises an error on one; document_batches names such rows itself, so
+that each counts as a document.  Repeated rows are one change.  An empty batch commits and adds nothing.
 """
 
 from __future__ import annotations
@@ -81,8 +81,14 @@ def document_batches(docs: DataFrame) -> list[DataFrame]:
     """Three batches of changes from documents: provisional counts, true counts, and the copies taken out again.
 
     Versions: `words` (first a sixth of n_chars, then the words counted) and `quads` (bytes by four, rounded up).
+    A row without doc_id takes a key from 2**62 on: a hash of its columns and of how many rows like it came before.
     """
-    slim = docs.where("doc_id IS NOT NULL").select(
+    columns = [c for c in docs.columns if c != "doc_id"]
+    alike = docs.where("doc_id IS NULL").groupBy(*columns).agg(F.count("*").alias("_rows"))
+    each = alike.withColumn("_place", F.explode(F.expr("sequence(1L, _rows)")))
+    key = F.xxhash64(*columns, "_place").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", *columns).union(each.select(key.alias("doc_id"), *columns))
+    slim = named.select(
         "doc_id", "source", "lang", F.coalesce(F.floor(F.col("n_chars") / 6), F.lit(0)).cast("long").alias("guess"),
         F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).cast("long").alias("quads"),
         word_count(F.col("text")).alias("words"), F.sha2(F.col("text"), 256).alias("sha"))

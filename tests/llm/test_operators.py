@@ -346,6 +346,19 @@ def test_rollup_is_idempotent_and_signed(spark, tmp_path):
         rollup.commit(batch((4, "v", "s", "en", 1, False, 0)), 0)
 
 
+def test_document_batches_count_rows_without_id(spark, tmp_path):
+    rows = [(1, "one two", "en", "s", 7), (2, "one two", "en", "s", 7), (None, "one two", "en", "s", 7),
+            (None, "three four five", "en", "s", 15), (None, None, "fr", "s", None), (None, None, "fr", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rollup = rollups.Rollup(spark, str(tmp_path / "r"))
+    batches = rollups.document_batches(docs)
+    for number in (1, 2):
+        rollup.commit(batches[number - 1], number)
+    assert {tuple(r) for r in rollup.totals().where("version = 'words'").collect()} == {("s", "en", "words", 4, 9), ("s", "fr", "words", 2, 0)}
+    rollup.commit(batches[2], 3)  # the copies of the first text go, with or without id
+    assert {tuple(r) for r in rollup.totals().where("version = 'words'").collect()} == {("s", "en", "words", 2, 5), ("s", "fr", "words", 2, 0)}
+
+
 def test_transfers_move_the_fewest_bytes():
     rng = np.random.default_rng(1)
     sizes = [int(x) for x in rng.integers(0, 1000, 12)]
