@@ -17,6 +17,7 @@ from ledgerloom.llm.near_dedup import near_duplicates
 from ledgerloom.llm.scoring import score_documents
 from ledgerloom.llm.sentence_pieces import Pieces, decode, default_model, encode
 from ledgerloom.llm.sharding import reshard
+from ledgerloom.llm.whitening import whitened_components
 from ledgerloom.session import ensure_checkpoint_dir
 
 
@@ -67,6 +68,10 @@ def op10_sharding(spark, sf_dir):
     return reshard(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark, sf_dir):
+    return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -74,6 +79,6 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_multi_index, op3_mixing, op4_lm_scoring, op5_sentence_pieces, op6_language_id, op7_license_scan,
-                                    op8_near_dedup, op9_token_rollup, op10_sharding, pipeline)}
+                                    op8_near_dedup, op9_token_rollup, op10_sharding, op13_embedding_whitening, pipeline)}
 
 ORACLE = {"op3_mixing": mixing.oracle(), "op9_token_rollup": rollups.ORACLE}
