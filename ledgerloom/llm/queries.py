@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, rollups, secrets
+from ledgerloom.llm import conversation_trie, mixing, rollups, secrets
 from ledgerloom.llm.common import table
 from ledgerloom.llm.exact_search import top_k
 from ledgerloom.llm.language import language_of_documents
@@ -68,6 +68,10 @@ def op10_sharding(spark, sf_dir):
     return reshard(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark, sf_dir):
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_secret_scan(spark, sf_dir):
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,6 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_multi_index, op3_mixing, op4_lm_scoring, op5_sentence_pieces, op6_language_id, op7_license_scan,
-                                    op8_near_dedup, op9_token_rollup, op10_sharding, op12_secret_scan, op13_embedding_whitening, pipeline)}
+                                    op8_near_dedup, op9_token_rollup, op10_sharding, op11_conversation_trie, op12_secret_scan, op13_embedding_whitening, pipeline)}
 
-ORACLE = {"op3_mixing": mixing.oracle(), "op9_token_rollup": rollups.ORACLE, "op12_secret_scan": secrets.oracle()}
+ORACLE = {"op3_mixing": mixing.oracle(), "op9_token_rollup": rollups.ORACLE, "op11_conversation_trie": conversation_trie.ORACLE, "op12_secret_scan": secrets.oracle()}
