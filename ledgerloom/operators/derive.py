@@ -228,11 +228,25 @@ def sku_key_coverage(bill: DataFrame) -> DataFrame:
     return standard.unionByName(other)
 
 
+#: Where a digest of 64 hexadecimal digits is cut, so that each piece fits a long: (first digit, digits).
+DIGEST_PIECES = ((1, 15), (16, 15), (31, 15), (46, 15), (61, 4))
+
+
 def content_fingerprint(frame: DataFrame, by: list[str]) -> DataFrame:
-    """A fingerprint of the values that row order, files and partitions cannot change."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in sorted(frame.columns)]
-    digest = F.sha2(F.concat_ws("␟", *parts), 256)
-    number = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
-    return frame.select(*by, number.alias("_h")).groupBy(*by).agg(
-        rows().alias("row_count"), F.bit_xor("_h").alias("xor_of_rows"),
-        F.sum(F.col("_h").cast("decimal(20,0)")).cast("string").alias("sum_of_rows"))
+    """A fingerprint of the values that row order, files and partitions cannot change.
+
+    All 256 bits of every row's digest enter, as exclusive or and as sum.  Values carry their length, so neither a null
+    nor a separator inside a value can be taken for something else.
+    """
+    def told(name: str) -> Column:
+        value = F.col(name).cast("string")
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    digest = F.sha2(F.concat_ws(",", *[told(c) for c in sorted(frame.columns)]), 256)
+    pieces = [F.conv(F.substring("_digest", at, size), 16, 10).cast("long").alias(f"_h{at}") for at, size in DIGEST_PIECES]
+    return (
+        frame.select(*by, digest.alias("_digest")).select(*by, *pieces).groupBy(*by).agg(
+            rows().alias("row_count"),
+            F.concat_ws("-", *[F.bit_xor(f"_h{at}") for at, _ in DIGEST_PIECES]).alias("xor_of_rows"),
+            F.concat_ws("-", *[F.sum(F.col(f"_h{at}").cast("decimal(20,0)")) for at, _ in DIGEST_PIECES]).alias("sum_of_rows"))
+    )

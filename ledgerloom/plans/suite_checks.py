@@ -14,14 +14,13 @@ from ledgerloom.operators import checks as K
 from ledgerloom.operators import crosschecks as X
 from ledgerloom.plans.oracle_base import CONTRACTS, INVOICES, PERIODS, bill_cte, money, over_bill
 from ledgerloom.sources import bill_adapter as A
+from ledgerloom.sources.bill_columns import TEXT_COLUMNS
 
 CHECKED = schema.STANDARD_COLUMNS + ["x_SchemaEra"]
-TEXTS = """CommitmentDiscountName ServiceSubcategory RegionId ChargeDescription x_CostCenter
-    x_CustomerName x_ResourceGroupName""".split()
+TEXTS = TEXT_COLUMNS
 WITHOUT = [c for c in schema.STANDARD_COLUMNS if c not in (
     "BillingAccountType", "ServiceSubcategory", "ProviderName", "AvailabilityZone", "SkuMeter")]
-DRIFTING = """BillingAccountType CapacityReservationId ChargeCategory CommitmentDiscountQuantity InvoiceId PricingCurrency
-    ServiceSubcategory SkuPriceDetails SubAccountType""".split()
+DRIFTING = [c for c in schema.STANDARD_COLUMNS if c in schema.INTRODUCED]
 
 
 def _family(name: str, *needed: str):
@@ -81,7 +80,7 @@ def _currency_format(spark, sf_dir):
 
 def _era_columns(spark, sf_dir):
     """Declaration drift over the current schema, by era and drop."""
-    frame = A.bill(spark, sf_dir, "x_SchemaEra", *DRIFTING, "SkuMeter", "CommitmentDiscountUnit")
+    frame = A.bill(spark, sf_dir, "x_SchemaEra", *DRIFTING)
     return K.declaration_drift(frame).groupBy("introduced").agg(
         rows().alias("columns_ahead"), F.sum("row_count").alias("row_count"))
 
@@ -292,7 +291,7 @@ commitment AS (
          count_if(ChargeCategory = 'Usage' AND coalesce(CommitmentDiscountStatus, '') NOT IN ('Used', 'Unused')) AS unstated_rows
   FROM bill WHERE CommitmentDiscountId <> '' GROUP BY ALL)"""
 _MANDATORY_ABSENT = [("BillingAccountType", "1.2"), ("ProviderName", "0.5"), ("ServiceSubcategory", "1.1")]
-_INTRO = {c: schema.INTRODUCED[c] for c in DRIFTING + ["SkuMeter", "CommitmentDiscountUnit"]}
+_INTRO = {c: schema.INTRODUCED[c] for c in DRIFTING}
 _DRIFT = " UNION ALL ".join(
     f"SELECT x_SchemaEra, '{c}' AS column_name, '{v}' AS introduced, count({c}) AS row_count FROM bill "
     f"WHERE x_SchemaEra IN ('1.0r2', 'pre-1.2') GROUP BY ALL" for c, v in _INTRO.items() if v in ("1.1", "1.2"))

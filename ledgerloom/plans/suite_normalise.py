@@ -14,14 +14,11 @@ from ledgerloom.sources import bill_adapter as A
 from ledgerloom.sources import bill_columns as rules
 
 PROFILED = [c for c in rules.FULL_BILL if c != "x_ChargeId"]
-TEXTS = """AvailabilityZone BillingAccountName BillingAccountType ChargeClass ChargeDescription
-    CommitmentDiscountName RegionId ResourceName ServiceSubcategory SkuMeter SubAccountName Tags
-    x_CostCenter x_CustomerName x_ResourceGroupName""".split()
+TEXTS = rules.TEXT_COLUMNS
 CANONICAL = "x_ChargeId x_SchemaEra SkuMeter SkuPriceDetails PricingCurrency InvoiceId".split()
 PRICED = """x_ChargeId x_SchemaEra PricingCurrency PricingCurrencyEffectiveCost
     PricingCurrencyListUnitPrice PricingCurrencyContractedUnitPrice""".split()
-SCANNED = """x_ChargeId ChargePeriodStart ChargePeriodEnd BillingPeriodStart BillingPeriodEnd ChargeCategory
-    ChargeClass BillingCurrency ListCost ContractedCost EffectiveCost BilledCost x_SchemaEra""".split()
+SCANNED = rules.FULL_BILL
 FRAGMENT = "/RES/1"
 ERA_COLUMNS = [c for c in schema.STANDARD_COLUMNS if not schema.era_supports("pre-1.2", c)]
 
@@ -83,8 +80,7 @@ def _drop_audit(spark, sf_dir):
 QUERIES = {
     "scan_bill": lambda spark, sf: A.bill(spark, sf, *SCANNED),
     "canonical_columns": _canonical,
-    "empty_to_null": lambda spark, sf: N.empty_to_null(
-        A.bill(spark, sf, "x_ChargeId", "ServiceSubcategory", "CommitmentDiscountName", "x_CostCenter")),
+    "empty_to_null": lambda spark, sf: N.empty_to_null(A.bill(spark, sf, *TEXTS)),
     "empty_string_report": _on(N.empty_string_report, *TEXTS),
     "pricing_currency_default": _priced,
     "unified_layers": _unified,
@@ -114,8 +110,7 @@ QUERIES = {
     "currency_totals": _on(D.currency_totals, "BillingCurrency", "EffectiveCost"),
     "era_gap": _on(D.era_gap, "x_SchemaEra", *ERA_COLUMNS),
     "sku_key_coverage": _on(D.sku_key_coverage),
-    "content_fingerprint": lambda spark, sf: D.content_fingerprint(
-        A.bill(spark, sf, *SCANNED, "ResourceId", "Tags", "x_CommitmentEligible"), ["x_SchemaEra"]),
+    "content_fingerprint": lambda spark, sf: D.content_fingerprint(A.bill(spark, sf), ["x_SchemaEra"]),
 }
 
 
@@ -128,7 +123,8 @@ def _per_column(columns, condition: str, alias: str, having: str = "", extra: st
 
 _PLACEHOLDERS = ", ".join(f"'{p}'" for p in schema.PLACEHOLDERS)
 _CATEGORIES = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS value FROM bill" for c in I.CATEGORY_COLUMNS)
-_FINGERPRINT = sorted([*SCANNED, "ResourceId", "Tags", "x_CommitmentEligible"])
+_DECIMALS = [c for c in rules.NOT_TEXT if not c.endswith(("Start", "End")) and c not in ("x_Synthetic", "x_CommitmentEligible")]
+_PIECES = [f"CAST('0x' || substr(d, {at}, {size}) AS BIGINT)" for at, size in D.DIGEST_PIECES]
 _CASCADES = " UNION ALL ".join(
     f"SELECT '{a}' AS anchor, '{s}' AS satellite, count(*) AS row_count FROM bill "
     f"WHERE {a} IS NULL AND {s} IS NOT NULL" for a, group in schema.ANCHORS.items() for s in group)
@@ -136,16 +132,13 @@ _SKU = "(VALUES " + ", ".join(f"('{k}')" for k in schema.SKU_PROPERTIES) + ") s(
 
 ORACLE = {
     "scan_bill": over_bill("SELECT " + ", ".join(
-        f"CAST({c} AS DOUBLE) AS {c}" if c.endswith("Cost") else c for c in SCANNED) + " FROM bill"),
+        f"CAST({c} AS DOUBLE) AS {c}" if c in _DECIMALS else c for c in SCANNED) + " FROM bill"),
     "canonical_columns": over_bill("""
         SELECT x_ChargeId, x_SchemaEra, coalesce(SkuMeter, x_SkuMeterName) AS SkuMeter,
                coalesce(SkuPriceDetails, x_SkuDetails) AS SkuPriceDetails,
                coalesce(PricingCurrency, x_PricingCurrency) AS PricingCurrency,
                coalesce(InvoiceId, x_InvoiceId) AS InvoiceId FROM bill"""),
-    "empty_to_null": over_bill("""
-        SELECT x_ChargeId, CASE WHEN ServiceSubcategory <> '' THEN ServiceSubcategory END AS ServiceSubcategory,
-               CASE WHEN CommitmentDiscountName <> '' THEN CommitmentDiscountName END AS CommitmentDiscountName,
-               CASE WHEN x_CostCenter <> '' THEN x_CostCenter END AS x_CostCenter FROM bill"""),
+    "empty_to_null": over_bill("SELECT " + ", ".join(f"nullif({c}, '') AS {c}" for c in TEXTS) + " FROM bill"),
     "empty_string_report": _per_column(TEXTS, "{c} = ''", "empty_strings"),
     "pricing_currency_default": over_bill("""
         SELECT x_ChargeId, x_SchemaEra,
@@ -286,9 +279,9 @@ ORACLE = {
               SELECT unnest(json_keys(doc)) AS sku_key FROM (SELECT coalesce(SkuPriceDetails, x_SkuDetails) AS doc FROM bill)
               WHERE json_valid(doc)) GROUP BY ALL)"""),
     "content_fingerprint": over_bill(f"""
-        SELECT x_SchemaEra, count(*) AS row_count, bit_xor(h) AS xor_of_rows,
-               CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS sum_of_rows
-        FROM (SELECT x_SchemaEra, CAST('0x' || substr(sha256(concat_ws('␟', {", ".join(
-            f"coalesce(CAST({c} AS VARCHAR), '∅')" for c in _FINGERPRINT)})), 1, 12) AS BIGINT) AS h FROM bill)
+        SELECT x_SchemaEra, count(*) AS row_count, concat_ws('-', {", ".join(f"bit_xor({h})" for h in _PIECES)}) AS xor_of_rows,
+               concat_ws('-', {", ".join(f"sum(CAST({h} AS HUGEINT))" for h in _PIECES)}) AS sum_of_rows
+        FROM (SELECT x_SchemaEra, sha256(concat_ws(',', {", ".join(
+            f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in sorted(SCANNED))})) AS d FROM bill)
         GROUP BY ALL"""),
 }

@@ -10,14 +10,14 @@ from ledgerloom.operators import snapshots as S
 from ledgerloom.operators.normalise import SPACE
 from ledgerloom.plans.oracle_base import over_bill
 from ledgerloom.sources import bill_adapter as A
+from ledgerloom.sources import bill_columns
 from ledgerloom.sources import rule_adapter as R
 
 NAMES = ["BillingAccountName", "x_BillingAccountName", "x_CustomerName"]
 IDS = ["BillingAccountId", "SubAccountId", "x_InvoiceSectionId"]
-SWEPT = NAMES + IDS + ["x_BillingProfileCode", "ResourceName", "SubAccountName", "x_ResourceGroupName"]
+SWEPT = bill_columns.TEXT_COLUMNS
 SPARED = ("x_InvoiceSectionId", "x_BillingAccountName")
-EXPORT = """BillingAccountType CapacityReservationId ChargeDescription InvoiceId PricingCurrency ServiceSubcategory SkuMeter
-    SkuPriceDetails SubAccountType x_SkuMeterName x_SkuDetails x_PricingCurrency x_InvoiceId x_CostCenter""".split()
+EXPORT = [c for c in bill_columns.FULL_BILL if c != "x_SchemaEra"]
 
 
 def _pseudonymise(spark, sf_dir):
@@ -138,9 +138,14 @@ _BEFORE_VALUES = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS value
 _AFTER_VALUES = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, value, count(*) AS n FROM (SELECT {_cleaned(c)} AS value FROM bill) WHERE value <> '' GROUP BY value"
     for c in SWEPT)
+def _any_script(pattern: str) -> str:
+    """The comparison engine's own classes know ASCII alone."""
+    return pattern.replace(r"\w", r"\p{L}\p{N}_").replace(r"[^\s", "[^" + SPACE[1:-2])
+
+
 _SHAPE_SQL = " UNION ALL ".join(
     "SELECT origin, '{name}' AS shape, unnest(regexp_extract_all(text, '{pattern}')) AS token FROM texts".format(
-        name=name, pattern=pattern.replace("'", "''")) for name, pattern in Z.SHAPES.items())
+        name=name, pattern=_any_script(pattern).replace("'", "''")) for name, pattern in Z.SHAPES.items())
 _PUBLISHED = Z.PUBLISHED
 
 

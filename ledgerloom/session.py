@@ -26,8 +26,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
-    """A single-machine session for tests and the benchmark."""
+def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g",
+                  broadcast_bytes: str | None = None) -> SparkSession:
+    """A single-machine session for tests and the benchmark.
+
+    broadcast_bytes "-1" times the plan that large tables get: joins by sort and merge, and rows spread over the cores.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("ledgerloom")
@@ -35,6 +39,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
     )
+    if broadcast_bytes is not None:
+        builder = builder.config("spark.sql.autoBroadcastJoinThreshold", broadcast_bytes)
     for key, value in RESULT_SETTINGS.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -196,6 +196,13 @@ HELPERS = """k charge_month next_month third_party team account_digest account_g
     profile_digest sku_json reference_invoice""".split()
 FULL_BILL = [c for c in COLUMNS if c not in HELPERS]
 
+# Columns of a full bill that are not text.
+NOT_TEXT = """ChargePeriodStart ChargePeriodEnd x_Synthetic BillingPeriodStart BillingPeriodEnd ListCost ContractedCost
+    EffectiveCost BilledCost x_CommitmentEligible x_PricingBlockSize ConsumedQuantity PricingQuantity ListUnitPrice
+    ContractedUnitPrice PricingCurrencyEffectiveCost PricingCurrencyListUnitPrice PricingCurrencyContractedUnitPrice
+    CommitmentDiscountQuantity x_BillingExchangeRate""".split()
+TEXT_COLUMNS = [c for c in FULL_BILL if c not in NOT_TEXT]
+
 _WORD = re.compile(r"'[^']*'|[A-Za-z_]\w*")
 
 
