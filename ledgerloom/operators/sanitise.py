@@ -15,6 +15,7 @@ from ledgerloom import schema
 from ledgerloom.functions.columns import count_where, rows
 from ledgerloom.functions.profile import counts_by_column, string_columns
 from ledgerloom.functions.substrings import containing
+from ledgerloom.session import ensure_checkpoint_dir
 
 DEFAULT_SALT = "ledgerloom"
 
@@ -103,14 +104,14 @@ def sanitise(frame: DataFrame, salt: str = DEFAULT_SALT, spare: tuple[str, ...]
     return frame.withColumns({**masks, **{c: sanitise_text(F.col(c), salt) for c in swept}})
 
 
-def sanitise_report(frame: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
+def sanitise_report(frame: DataFrame) -> DataFrame:
     """Values each column's sweep changes, or masks, counted in one scan."""
     counted = {}
     for name in string_columns(frame):
         if name in schema.NAME_MASKS:
             counted[name] = F.count(F.col(name))
         else:
-            counted[name] = count_where(sanitise_text(F.col(name), salt) != F.col(name))
+            counted[name] = count_where(holds_identifier(F.col(name)))
     return (
         counts_by_column(frame, counted, "column_name", "values_changed").where("values_changed > 0")
         .withColumn("kind", F.when(F.col("column_name").isin(*schema.NAME_MASKS), "name").otherwise("identifier"))
@@ -142,22 +143,35 @@ def _column_values(frame: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def holds_identifier(text: Column) -> Column:
+    """Whether the sweep changes the value: a pseudonym is another text than what it stands for."""
+    return _may_hold(text, CODE_SIZE) & text.rlike(IDENTIFIER)
+
+
 def identifier_tokens(value: str) -> Column:
     return F.when(_may_hold(F.col(value), CODE_SIZE), F.regexp_extract_all(value, F.lit(IDENTIFIER), F.lit(0)))
 
 
+def needles(original: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct identifiers of the input, and its distinct names; other values never leave the scan."""
+    names = [c for c in string_columns(original) if c in schema.NAME_MASKS]
+    held = F.flatten(F.array_compact(F.array(*[identifier_tokens(c) for c in string_columns(original)])))
+    tokens = original.select(F.explode(F.array_distinct(held)).alias("needle")).distinct()
+    named = original.select(F.explode(F.array(*[F.col(c) for c in names]).cast("array<string>")).alias("needle"))
+    return tokens, named.where("needle <> ''").distinct()
+
+
 def leak_scan(original: DataFrame, published: DataFrame) -> DataFrame:
     """Columns of the output that still hold an identifier of the input.
 
     Asked of the data, not of the code that cleaned it.  Shape-like needles are
     matched token to token and names anywhere in a value; both are equi-joins
-    over distinct values.  Reports columns and counts, never a value.
+    over distinct values, which are found once and kept in the checkpoint folder.
+    Reports columns and counts, never a value.
     """
-    before = _column_values(original, string_columns(original))
-    after = _column_values(published, string_columns(published))
-    tokens = before.select(F.explode(identifier_tokens("value")).alias("needle")).distinct()
-    named = before.where(F.col("column_name").isin(*schema.NAME_MASKS)).select(
-        F.col("value").alias("needle")).distinct()
+    ensure_checkpoint_dir(published.sparkSession)
+    after = _column_values(published, string_columns(published)).checkpoint()
+    tokens, named = needles(original)
     token_hits = (
         after.select("column_name", "value", "row_count", F.explode(F.array_distinct(identifier_tokens("value")))
                      .alias("needle")).join(tokens, "needle", "left_semi")

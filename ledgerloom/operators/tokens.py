@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import Span, charge_day, display, ratio, reads, rows, total
-from ledgerloom.functions.joins import lookup_join
 
 # --- fixed values: interactive list rates per million tokens --------------------
 INPUT_RATE, OUTPUT_RATE = "0.10", "0.40"
@@ -157,28 +156,42 @@ def job_variance(runs: DataFrame) -> DataFrame:
     )
 
 
+def next_at_or_after(instants: DataFrame, at: str, marks: DataFrame, mark: str) -> DataFrame:
+    """instants with, as `mark`, the first mark at or after each: an as-of merge of two time lines.
+
+    Both are put in one line and cut by the hour.  Within an hour a window carries each mark back to the instants before
+    it; where none is left in the hour, the first mark of the next hour that has one is taken.  A window over hours finds
+    that, so it grows with the calendar and not with the rows.
+    """
+    hour = F.date_trunc("hour", at)
+    line = (
+        instants.withColumn("_mark", F.lit(None).cast(marks.schema[mark].dataType))
+        .unionByName(marks.select(F.col(mark).alias(at), F.col(mark).alias("_mark")).distinct(), allowMissingColumns=True)
+        .withColumn("_is_mark", F.col("_mark").isNotNull()).withColumn("_hour", hour)
+    )
+    hours = line.groupBy("_hour").agg(F.min("_mark").alias("_first"))
+    later = W.orderBy("_hour").rowsBetween(1, W.unboundedFollowing)
+    hours = hours.select(F.col("_hour").alias("_of"), F.first("_first", ignorenulls=True).over(later).alias("_later"))
+    # Later rows first, and at one time the mark first, so that it counts as at or after.
+    back = W.partitionBy("_hour").orderBy(F.col(at).desc(), F.col("_is_mark").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = line.withColumn("_near", F.last("_mark", ignorenulls=True).over(back)).where("NOT _is_mark")
+    return found.join(hours, F.col("_hour").eqNullSafe(F.col("_of")), "left").select(
+        *instants.columns, F.coalesce("_near", F.when(F.col(at).isNotNull(), F.col("_later"))).alias(mark))
+
+
 def billing_latency(charges: DataFrame, ticks: DataFrame) -> DataFrame:
     """Time from a charge to the first export tick at or after it, by day of usage.
 
-    A charge looks among its own day's ticks, else takes the first tick of the
-    next day that has one.  Both come from one table of civil days, so the
-    search is an equi-join on the day; the window that carries "the next tick"
-    backwards runs over calendar days only.  Charges after the last tick are
-    reported as unlogged, not as zero.
+    Charges of one instant are counted first and searched once.  Charges after
+    the last tick are reported as unlogged, not as zero.
     """
-    dated = charges.withColumn("day", F.to_date("used_at"))
-    tick_days = ticks.groupBy(F.to_date("tick").alias("day")).agg(
-        F.sort_array(F.collect_set("tick")).alias("ticks"))
-    calendar = dated.select("day").distinct().join(tick_days, "day", "full_outer")
-    later = W.orderBy("day").rowsBetween(1, W.unboundedFollowing)
-    calendar = calendar.withColumn("next_tick", F.first(F.array_min("ticks"), ignorenulls=True).over(later))
-    tick = F.coalesce(F.array_min(F.filter("ticks", lambda t: t >= F.col("used_at"))), "next_tick")
-    met = lookup_join(dated, calendar, ["day"], ["used_at"], "left").withColumn("tick", tick)
+    instants = charges.groupBy("used_at").agg(rows().alias("n"))
+    met = next_at_or_after(instants, "used_at", ticks, "tick")
+    delivered = F.sum(F.when(F.col("tick").isNotNull(), F.col("n")).otherwise(0))
     wait = F.timestamp_diff("SECOND", F.col("used_at"), F.col("tick"))
-    return met.withColumn("wait", wait).groupBy("day").agg(
-        rows().alias("charges"), F.count("tick").alias("delivered"),
-        (rows() - F.count("tick")).alias("unlogged"),
-        F.max(F.datediff(F.to_date("tick"), F.col("day"))).cast("long").alias("max_days"),
+    return met.withColumn("wait", wait).groupBy(F.to_date("used_at").alias("day")).agg(
+        F.sum("n").alias("charges"), delivered.alias("delivered"), (F.sum("n") - delivered).alias("unlogged"),
+        F.max(F.datediff(F.to_date("tick"), F.to_date("used_at"))).cast("long").alias("max_days"),
         ratio(F.max("wait"), F.lit(3600), 1, 1).alias("max_hours"))
 
 

@@ -60,8 +60,7 @@ QUERIES = {
     "billing_latency": lambda spark, sf: T.billing_latency(
         E.usage(spark, sf).select("used_at"), E.export_ticks(spark, sf)),
     "hours_off_share": _hours_off,
-    "absent_dates": lambda spark, sf: T.absent_dates(
-        E.usage(spark, sf).where("event_type = 'purchase'"), "user_id"),
+    "absent_dates": lambda spark, sf: T.absent_dates(E.usage(spark, sf), "user_id"),
     "first_seen": lambda spark, sf: D.first_seen(
         E.usage(spark, sf), ["user_id", "event_type"], "used_at"),
     "daily_window": _daily,
@@ -138,7 +137,7 @@ ORACLE = {
     "absent_dates": _over("""
         SELECT user_id, day + 1 AS absent_from, nxt - 1 AS absent_to, date_diff('day', day, nxt) - 1 AS absent_days
         FROM (SELECT user_id, day, lead(day) OVER (PARTITION BY user_id ORDER BY day) AS nxt
-              FROM (SELECT DISTINCT user_id, day FROM metered WHERE event_type = 'purchase')) WHERE nxt - day > 1"""),
+              FROM (SELECT DISTINCT user_id, day FROM metered)) WHERE nxt - day > 1"""),
     "first_seen": _over("""
         SELECT user_id, event_type, min(ts) AS first_seen, count(*) AS row_count FROM metered GROUP BY ALL"""),
     "daily_window": _over("""

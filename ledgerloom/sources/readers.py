@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,16 @@ MANIFEST_FIELDS = (
 )
 
 
+def stored(read: Callable[[str], DataFrame], path: str) -> DataFrame | None:
+    """What a reader finds under the path, or None where nothing has been written; any other fault is the caller's to see."""
+    try:
+        return read(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def folder_label(path: Column) -> Column:
     """The folder a file lies in, read from its path."""
     return F.url_decode(F.regexp_extract(path, "([^/]+)/[^/]+$", 1))

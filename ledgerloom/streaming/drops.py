@@ -7,7 +7,6 @@ on a cluster are shared ones.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.functions.columns import rows, total
 from ledgerloom.functions.joins import with_one_row
+from ledgerloom.sources.readers import stored
 
 
 def read_drops(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -42,22 +42,20 @@ def latest_delivery(drops: DataFrame, month: str, version: list[str]) -> DataFra
     )
 
 
-def _stored(spark: SparkSession, target: str) -> DataFrame | None:
-    """The table, or None where none has been written; any other fault is the caller's to see."""
-    try:
-        return spark.read.parquet(target)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
+def _index(target: str) -> str:
+    return f"{target.rstrip('/')}__versions"
+
 
+def held_versions(spark: SparkSession, target: str, months: DataFrame, month: str) -> DataFrame | None:
+    """(_month, _held): the newest version the index has of each of these months, or None before the first delivery.
 
-def _stored_versions(spark: SparkSession, target: str, month: str, version: list[str]) -> DataFrame | None:
-    """Newest version held per month, or None before the first delivery."""
-    held = _stored(spark, target)
-    if held is None:
+    The index is a row for each month, written beside the target; no batch reads the target itself.
+    """
+    index = stored(spark.read.parquet, _index(target))
+    if index is None:
         return None
-    return held.groupBy(F.col(month).cast("string").alias("_month")).agg(F.max(F.struct(*version)).alias("_held"))
+    wanted = months.select(F.col(month).cast("string").alias("_wanted")).distinct()
+    return index.join(wanted, F.col("_month").eqNullSafe(F.col("_wanted")), "left_semi").groupBy("_month").agg(F.max("_held").alias("_held"))
 
 
 def write_month_replacements(drops: DataFrame, target: str, checkpoint: str, month: str,
@@ -65,19 +63,23 @@ def write_month_replacements(drops: DataFrame, target: str, checkpoint: str, mon
     """Replace whole months as they are re-delivered; never append to one.
 
     Dynamic partition overwrite replaces exactly the months a batch brings, and
-    an old delivery arriving after a newer one is left out.  A retried batch
-    writes the same months again, so a lost executor or driver leaves the table
-    as one clean run would.
+    an old delivery arriving after a newer one is left out.  The index of
+    versions is written after the months, so a batch that fails in between is
+    repeated: it finds no newer version than its own and writes the same months
+    again, as a replayed batch does.
     """
     def replace(batch: DataFrame, _: int) -> None:
         newest = latest_delivery(batch, month, version)
-        held = _stored_versions(batch.sparkSession, target, month, version)
+        held = held_versions(batch.sparkSession, target, newest, month)
         if held is not None:
             stale = newest[month].cast("string").eqNullSafe(held["_month"]) & (F.struct(*[newest[v] for v in version])
                                                                          < held["_held"])
             newest = newest.join(held, stale, "left_anti")
         (newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(month).parquet(target))
+        index = newest.groupBy(F.col(month).cast("string").alias("_month")).agg(F.max(F.struct(*version)).alias("_held"))
+        (index.withColumn("_of", F.col("_month")).coalesce(1).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("_of").parquet(_index(target)))
 
     return (
         drops.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
@@ -90,9 +92,46 @@ def first_seen(events: DataFrame, keys: list[str], at: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.min(at).alias("first_seen"), rows().alias("row_count"))
 
 
-def first_seen_stream(events: DataFrame, keys: list[str], at: str, lateness: str) -> DataFrame:
-    """First sightings as they arrive; state is dropped once past the lateness bound."""
-    return events.withWatermark(at, lateness).dropDuplicatesWithinWatermark(keys)
+def first_seen_stream(events: DataFrame, keys: list[str]) -> DataFrame:
+    """First sightings as they arrive, each key once for ever.
+
+    No watermark: the state keeps every key that was ever seen and nothing else, so a key that returns after any time is
+    not announced again.  It is as large as the keys; use the RocksDB state store, which holds it on disk.
+    """
+    return events.dropDuplicates(keys)
+
+
+#: Folders that the keys seen are kept in; a batch reads those of its own keys only.
+LEDGER_PARTS = 256
+
+
+def _ledger_part(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(LEDGER_PARTS)).cast("int")
+
+
+def write_first_seen(events: DataFrame, keys: list[str], at: str, ledger: str, checkpoint: str) -> StreamingQuery:
+    """First sightings with their times in an insert-only ledger: a row for each key, from the batch that saw it first.
+
+    Keys that an earlier batch has are left out by an anti join with the ledger's parts of this batch's keys.  A batch
+    writes under its own number, so a replayed one overwrites what it wrote and changes nothing.  Later sightings never
+    change a row; within the first batch the earliest time counts, rows without a time last.  Batch numbers are those of
+    one checkpoint, so a ledger belongs to one.
+    """
+    def insert(batch: DataFrame, batch_id: int) -> None:
+        seen = batch.groupBy(*keys).agg(F.min(at).alias("first_seen"), rows().alias("row_count")).withColumn("part", _ledger_part(keys))
+        known = stored(batch.sparkSession.read.parquet, ledger)
+        if known is not None:
+            same = [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys] + [F.col("part") == F.col("_known_part")]
+            earlier = known.where(F.col("batch_id") < batch_id).select(
+                F.col("part").alias("_known_part"), *[F.col(k).alias(f"_known_{k}") for k in keys])
+            seen = seen.join(earlier, same, "left_anti")
+        seen.write.mode("overwrite").partitionBy("part").parquet(f"{ledger.rstrip('/')}/batch_id={batch_id}")
+
+    return events.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_first_seen(spark: SparkSession, ledger: str) -> DataFrame:
+    return spark.read.parquet(ledger).drop("part")
 
 
 def _day(at: str) -> Column:
@@ -123,7 +162,7 @@ def write_with_late_rows(events: DataFrame, keys: list[str], at: str, amount: st
     """
     def split(batch: DataFrame, batch_id: int) -> None:
         newest = batch.agg(F.max(F.to_date(at)).alias("_newest"))
-        written = _stored(batch.sparkSession, totals)
+        written = stored(batch.sparkSession.read.parquet, totals)
         if written is not None:
             earlier = written.where(F.col("batch_id") < batch_id)
             newest = newest.unionByName(earlier.agg(F.max("day").alias("_newest"))).agg(

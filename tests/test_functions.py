@@ -68,6 +68,17 @@ def test_containing_equals_brute_force(spark):
         (n, x) for n, t in enumerate(texts) for x in needles if x in t}
 
 
+def test_containing_long_texts_and_needles(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abé😀") for _ in range(n)) for n in (0, 7, 255, 256, 257, 1000, 3000)] + [None]
+    needles = [t[i:i + n] for t in texts if t for i, n in ((0, 1), (250, 12), (251, 8), (240, 40), (600, 300), (1, 3)) if t[i:i + n]]
+    needles += ["zz", "abzzzzzzzz", "", "é" * 30]
+    got = containing(spark.createDataFrame(list(enumerate(texts)), "n int, text string"), "text",
+                     spark.createDataFrame([(x,) for x in needles], "needle string"), "needle")
+    assert sorted((r["n"], r["needle"]) for r in got.collect()) == sorted(
+        {(n, x) for n, t in enumerate(texts) for x in needles if t and x and x in t})
+
+
 GUID = "2B87f7b4-e1d9-35e4-fedc-338162c66672"
 
 
@@ -110,7 +121,7 @@ def test_identifier_shapes(spark):
             "00000000-0000-0000-0000-000000000000 {TEMPLATE}@x.yz a@b.cd a@b.cd")
     rows = {r["shape"]: (r["distinct_tokens"], r["matches"]) for r in sanitise.identifier_shapes(
         spark.createDataFrame([("d", text)], "k string, text string"), "text", ["k"]).collect()}
-    assert rows["subscription path"] == (1, 1) and rows["tenant domain"] == (1, 1)
+    assert rows["Azure subscription"] == (1, 1) and rows["tenant domain"] == (1, 1)
     assert "GUID" not in rows
     assert rows["email address"][1] == 4 or rows["email address"][1] == 3
 
