@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom import schema
 from ledgerloom.functions.columns import count_where, display, reads, rows, total, usage
+from ledgerloom.functions.numbering import numbered
 from ledgerloom.functions.profile import counts_by_column
 
 
@@ -19,66 +19,49 @@ def third_party() -> Column:
 
 ISSUE_DELAY_DAYS = 8
 PAYMENT_DAYS = 30
-PERIOD_PREFIX = 11  # "INV-yyyy-MM": invoices are named for the period they settle
 
 
-@reads("InvoiceId", "ChargeCategory", "ChargeClass", "ChargePeriodStart", "BillingCurrency", "BilledCost")
-def derive_invoice_detail(bill: DataFrame, currency: str = "USD") -> DataFrame:
-    """Invoice lines from cost rows, numbered once across the whole file.
+@reads("InvoiceId", "ChargeCategory", "ChargeClass", "ChargePeriodStart", "BillingPeriodStart", "BillingPeriodEnd",
+       "BillingCurrency", "BilledCost", "InvoiceIssuerName", "BillingAccountId")
+def derive_invoice_detail(bill: DataFrame) -> DataFrame:
+    """Invoice lines from cost rows of every currency, numbered once across the whole file.
 
-    The number is (lines on invoices of earlier prefixes) + (lines on earlier
-    invoices of the same prefix) + (place on its own invoice).  The three
-    windows run over, in turn, one row per prefix, the invoices of one prefix,
-    and the lines of one invoice, so none of them sees the whole file.
+    Periods are those of the rows, whatever an invoice id looks like.  A correction refers to the invoice of the month it
+    corrects where its own id spells its period; from another id that invoice cannot be told, and the reference is null.
+    Issuer and account are named where all rows of a line agree on them.
     """
-    month = F.trunc("ChargePeriodStart", "MM")
+    def agreed(name: str) -> Column:
+        return F.when(F.min(name) == F.max(name), F.min(name)).alias(name)
+
+    grain = ["InvoiceId", "BillingCurrency", "BillingPeriodStart", "ChargeCategory", "ChargeClass", "charge_month"]
     lines = (
-        bill.where((F.col("BillingCurrency") == currency) & (F.col("InvoiceId") != ""))
-        .groupBy("InvoiceId", "ChargeCategory", "ChargeClass", month.alias("charge_month"))
-        .agg(total("BilledCost").alias("amount"))
-        .withColumn("prefix", F.substring("InvoiceId", 1, PERIOD_PREFIX))
+        bill.where(F.col("InvoiceId") != "")
+        .withColumn("charge_month", F.to_date(F.trunc("ChargePeriodStart", "MM")))
+        .withColumns({c: F.to_date(c) for c in ("BillingPeriodStart", "BillingPeriodEnd")})
+        .groupBy(*grain).agg(total("BilledCost").alias("amount"), F.max("BillingPeriodEnd").alias("closes"),
+                             agreed("InvoiceIssuerName"), agreed("BillingAccountId"))
+        .withColumn("class_order", F.coalesce("ChargeClass", F.lit("")))
     )
-    per_invoice = lines.groupBy("prefix", "InvoiceId").agg(rows().alias("n"))
-    per_prefix = per_invoice.groupBy("prefix").agg(F.sum("n").alias("n"))
-    earlier = (W.unboundedPreceding, -1)
-    prefix_offset = per_prefix.select(
-        "prefix", F.coalesce(F.sum("n").over(W.orderBy("prefix").rowsBetween(*earlier)), F.lit(0))
-        .alias("prefix_offset"))
-    invoice_offset = per_invoice.select(
-        "prefix", "InvoiceId",
-        F.coalesce(F.sum("n").over(W.partitionBy("prefix").orderBy("InvoiceId").rowsBetween(*earlier)),
-                   F.lit(0)).alias("invoice_offset"))
-    place = F.row_number().over(
-        W.partitionBy("InvoiceId")
-        .orderBy("ChargeCategory", F.coalesce("ChargeClass", F.lit("")), "charge_month"))
+    order = ["InvoiceId", "BillingCurrency", "BillingPeriodStart", "ChargeCategory", "class_order", "charge_month"]
     correction = F.col("ChargeClass").eqNullSafe("Correction")
-    opens = F.to_date(F.concat(F.substring("InvoiceId", 5, 7), F.lit("-01")))
-    closes = F.add_months(opens, 1)
-    issued = F.date_add(closes, ISSUE_DELAY_DAYS)
-    suffix = F.expr(f"substring(InvoiceId, {PERIOD_PREFIX + 1})")
-    reference = F.when(
-        correction, F.concat(F.substring("InvoiceId", 1, 4), F.date_format("charge_month", "yyyy-MM"), suffix)
-    ).otherwise(F.col("InvoiceId"))
+    own, month = (F.date_format(c, "yyyy-MM") for c in ("BillingPeriodStart", "charge_month"))
+    renamed = F.when(F.contains("InvoiceId", own), F.replace("InvoiceId", own, month))
+    reference = F.when(correction, renamed).otherwise(F.col("InvoiceId"))
+    issued = F.date_add("closes", ISSUE_DELAY_DAYS)
     # The line number is padded to three digits and never cut beyond them.
     digits = F.col("number").cast("string")
     padded = F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits)
-    return (
-        lines.withColumn("place", place)
-        .join(invoice_offset, ["prefix", "InvoiceId"]).join(prefix_offset, "prefix")
-        .withColumn("number", F.col("prefix_offset") + F.col("invoice_offset") + F.col("place"))
-        .select(
-            F.concat("InvoiceId", F.lit("-"), padded).alias("InvoiceDetailId"), "InvoiceId",
-            reference.alias("ReferenceInvoiceId"), F.lit(currency).alias("BillingCurrency"),
-            display(F.col("amount")).alias("BilledCost"), "ChargeCategory",
-            opens.alias("BillingPeriodStart"), closes.alias("BillingPeriodEnd"),
-            issued.alias("InvoiceIssueDate"), F.lit("Issued").alias("InvoiceIssueStatus"),
-            F.date_add(issued, PAYMENT_DAYS).alias("PaymentDueDate"),
-            F.lit(f"Net {PAYMENT_DAYS}").alias("PaymentTerms"),
-            F.when(correction, F.concat("ChargeCategory", F.lit(" correction to "), reference))
-            .otherwise(F.concat("ChargeCategory", F.lit(" charges"))).alias("InvoiceDetailDescription"),
-            F.concat(F.lit('{"ChargeCategory":"'), "ChargeCategory", F.lit('","ChargeClass":"'),
-                     F.coalesce("ChargeClass", F.lit("None")), F.lit('"}')).alias("InvoiceDetailGrain"))
-    )
+    described = F.concat(F.col("ChargeCategory"), F.lit(" correction to "), F.coalesce(reference, F.lit("an invoice not named")))
+    return numbered(lines, order, "number").select(
+        F.concat("InvoiceId", F.lit("-"), padded).alias("InvoiceDetailId"), "InvoiceId",
+        reference.alias("ReferenceInvoiceId"), "InvoiceIssuerName", "BillingAccountId", "BillingCurrency",
+        display(F.col("amount")).alias("BilledCost"), "ChargeCategory", "BillingPeriodStart", F.col("closes").alias("BillingPeriodEnd"),
+        issued.alias("InvoiceIssueDate"), F.lit("Issued").alias("InvoiceIssueStatus"),
+        F.date_add(issued, PAYMENT_DAYS).alias("PaymentDueDate"), F.lit(f"Net {PAYMENT_DAYS}").alias("PaymentTerms"),
+        F.when(correction, described).otherwise(F.concat("ChargeCategory", F.lit(" charges"))).alias("InvoiceDetailDescription"),
+        F.concat(F.lit('{"ChargeCategory":"'), "ChargeCategory", F.lit('","ChargeClass":"'),
+                 F.coalesce("ChargeClass", F.lit("None")), F.lit('"}')).alias("InvoiceDetailGrain"),
+        issued.alias("InvoiceDetailCreated"), issued.alias("InvoiceDetailLastUpdated"))
 
 
 # ---- reservation amortisation -----------------------------------------------

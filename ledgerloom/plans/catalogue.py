@@ -7,7 +7,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SUITES = ["suite_finance", "suite_reconcile", "suite_normalise", "suite_checks", "suite_sanitise", "suite_tokens"]
+SUITES = ["suite_finance", "suite_reconcile", "suite_normalise", "suite_checks", "suite_findings", "suite_sanitise", "suite_tokens"]
 
 
 def for_display(frame: DataFrame) -> DataFrame:

@@ -64,6 +64,9 @@ contract AS (
   FROM bill WHERE CommitmentDiscountId LIKE '%0' GROUP BY CommitmentDiscountId)"""
 
 
+EVERY_CONTRACT = CONTRACTS.replace("LIKE '%0' GROUP", "IS NOT NULL GROUP")
+
+
 def over_bill(body: str, *companions: str, ctes: str = "") -> str:
     """A query text over the bill and any companion datasets."""
     parts = [bill_cte(), *companions]

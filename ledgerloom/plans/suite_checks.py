@@ -19,7 +19,7 @@ from ledgerloom.sources.bill_columns import TEXT_COLUMNS
 CHECKED = schema.STANDARD_COLUMNS + ["x_SchemaEra"]
 TEXTS = TEXT_COLUMNS
 WITHOUT = [c for c in schema.STANDARD_COLUMNS if c not in (
-    "BillingAccountType", "ServiceSubcategory", "ProviderName", "AvailabilityZone", "SkuMeter")]
+    "PricingUnit", "ServiceSubcategory", "ProviderName", "AvailabilityZone", "SkuMeter")]
 DRIFTING = [c for c in schema.STANDARD_COLUMNS if c in schema.INTRODUCED]
 
 
@@ -290,7 +290,7 @@ commitment AS (
          sum(CASE WHEN ChargeCategory = 'Usage' AND CommitmentDiscountStatus IN ('Used', 'Unused') THEN EffectiveCost ELSE 0 END) AS stated,
          count_if(ChargeCategory = 'Usage' AND coalesce(CommitmentDiscountStatus, '') NOT IN ('Used', 'Unused')) AS unstated_rows
   FROM bill WHERE CommitmentDiscountId <> '' GROUP BY ALL)"""
-_MANDATORY_ABSENT = [("BillingAccountType", "1.2"), ("ProviderName", "0.5"), ("ServiceSubcategory", "1.1")]
+_MANDATORY_ABSENT = [("PricingUnit", "0.5"), ("ProviderName", "0.5")]
 _INTRO = {c: schema.INTRODUCED[c] for c in DRIFTING}
 _DRIFT = " UNION ALL ".join(
     f"SELECT x_SchemaEra, '{c}' AS column_name, '{v}' AS introduced, count({c}) AS row_count FROM bill "
@@ -340,7 +340,7 @@ ORACLE = {
         f"SELECT 'PRESENCE-mandatory' AS check_id, 'FAIL' AS severity, '{c} is Mandatory and absent from a dataset containing ' "
         f"|| x_SchemaEra || ' rows' AS message FROM (SELECT DISTINCT x_SchemaEra FROM bill)"
         + (" WHERE x_SchemaEra = '1.2'" if v in ("1.1", "1.2") else "") for c, v in _MANDATORY_ABSENT)
-        + " UNION ALL SELECT 'PRESENCE-mandatory', 'INFO', '2 Conditional columns absent' FROM bill HAVING count(*) > 0"),
+        + " UNION ALL SELECT 'PRESENCE-mandatory', 'INFO', '3 columns of other levels absent; not evaluable without their conditions' FROM bill HAVING count(*) > 0"),
     "check_service_parent": _rows_sql((
         "SVC-parent-map", "FAIL", _BAD_PARENT,
         f"CASE WHEN ServiceCategory IN ({_listed(schema.SERVICE_PAIRS)}) THEN '''' || ServiceSubcategory || ''' is not permitted under ''' "

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import schema
 from ledgerloom.functions.columns import display, rows, total
 from ledgerloom.operators import derive as D
+from ledgerloom.operators import file_audit
 from ledgerloom.operators import inventory as I
 from ledgerloom.operators import normalise as N
-from ledgerloom.plans.oracle_base import CONTRACTS, money, over_bill, ratio
+from ledgerloom.plans.oracle_base import EVERY_CONTRACT, money, over_bill, ratio
 from ledgerloom.sources import bill_adapter as A
 from ledgerloom.sources import bill_columns as rules
 
@@ -19,6 +23,8 @@ CANONICAL = "x_ChargeId x_SchemaEra SkuMeter SkuPriceDetails PricingCurrency Inv
 PRICED = """x_ChargeId x_SchemaEra PricingCurrency PricingCurrencyEffectiveCost
     PricingCurrencyListUnitPrice PricingCurrencyContractedUnitPrice""".split()
 SCANNED = rules.FULL_BILL
+# Of the driver's tables, those that are one file at every size.
+TABLES = "region nation customer supplier part orders lineitem events benchmark".split()
 FRAGMENT = "/RES/1"
 ERA_COLUMNS = [c for c in schema.STANDARD_COLUMNS if not schema.era_supports("pre-1.2", c)]
 
@@ -77,6 +83,19 @@ def _drop_audit(spark, sf_dir):
     return I.drop_audit(bill.where("x_FixtureId <> 'drop-2001'"), stated)
 
 
+STATED = {"orders": 1, "part": None}  # one file misstated, one not stated, and one stated that is not there
+
+
+def _file_audit(spark, sf_dir):
+    """Every file of the driver's folder against the counts of its own tables."""
+    counts = [A.table(spark, sf_dir, name).agg(F.concat(F.lit(name), F.lit(".parquet")).alias("file_name"),
+                                               (rows() + STATED.get(name, 0)).alias("rows_stated"))
+              for name in TABLES if STATED.get(name, 0) is not None]
+    counts.append(spark.createDataFrame([("absent.parquet", 5)], "file_name string, rows_stated bigint"))
+    audit = file_audit.file_audit(file_audit.listed_files(spark, sf_dir), file_audit.rows_by_file(spark, sf_dir), reduce(DataFrame.unionByName, counts))
+    return audit.where(F.col("file_name").isin(*[f"{t}.parquet" for t in (*TABLES, "absent")])).drop("bytes")
+
+
 QUERIES = {
     "scan_bill": lambda spark, sf: A.bill(spark, sf, *SCANNED),
     "canonical_columns": _canonical,
@@ -96,11 +115,12 @@ QUERIES = {
                            *[s for group in schema.ANCHORS.values() for s in group]),
     "placeholder_scan": _on(I.placeholder_scan, *TEXTS),
     "drop_audit": _drop_audit,
+    "file_audit": _file_audit,
     "era_labels": _on(I.era_labels),
     "unattributed_share": _on(I.unattributed_share),
     "renamed_resources": _on(I.renamed_resources),
     "derive_invoice_detail": _on(D.derive_invoice_detail),
-    "amortise_commitment": lambda spark, sf: D.amortise_commitment(A.contract_commitment(spark, sf)),
+    "amortise_commitment": lambda spark, sf: D.amortise_commitment(A.contract_commitment(spark, sf, every=True)),
     "gap_explained": _on(D.gap_explained),
     "allocatable_split": _on(D.allocatable_split),
     "zero_billed": _on(D.zero_billed),
@@ -196,6 +216,11 @@ ORACLE = {
                      CASE WHEN x_FixtureId <> 'drop-2001' THEN string_agg(DISTINCT x_SchemaEra, ', ' ORDER BY x_SchemaEra) END AS eras,
                      CAST(count(*) + CASE WHEN CAST(right(x_FixtureId, 4) AS INT) % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS rows_stated
               FROM bill GROUP BY x_FixtureId)"""),
+    "file_audit": " UNION ALL ".join(
+        f"SELECT '{t}.parquet' AS file_name, count(*) AS rows_found, "
+        + ("NULL::BIGINT AS rows_stated, 'NOT STATED' AS verdict" if STATED.get(t, 0) is None else
+           f"count(*) + {STATED.get(t, 0)} AS rows_stated, '{'MISMATCH' if STATED.get(t, 0) else 'MATCH'}' AS verdict")
+        + f" FROM {t}" for t in TABLES) + " UNION ALL SELECT 'absent.parquet', NULL, 5, 'MISSING'",
     "era_labels": over_bill("""
         SELECT BillingCurrency, string_agg(DISTINCT x_SchemaEra, ', ' ORDER BY x_SchemaEra) AS eras FROM bill GROUP BY ALL"""),
     "unattributed_share": over_bill(f"""
@@ -208,19 +233,21 @@ ORACLE = {
         WHERE names > 1 AND ResourceName IS NOT NULL GROUP BY ResourceId, ResourceName"""),
     "derive_invoice_detail": over_bill(f"""
         SELECT InvoiceId || '-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS InvoiceDetailId,
-               InvoiceId, ReferenceInvoiceId, 'USD' AS BillingCurrency, {money('amount')} AS BilledCost, ChargeCategory,
-               opens AS BillingPeriodStart, closes AS BillingPeriodEnd, closes + 8 AS InvoiceIssueDate,
+               InvoiceId, ReferenceInvoiceId, InvoiceIssuerName, BillingAccountId, BillingCurrency, {money('amount')} AS BilledCost, ChargeCategory,
+               BillingPeriodStart, closes AS BillingPeriodEnd, closes + 8 AS InvoiceIssueDate,
                'Issued' AS InvoiceIssueStatus, closes + 38 AS PaymentDueDate, 'Net 30' AS PaymentTerms,
-               CASE WHEN ChargeClass = 'Correction' THEN ChargeCategory || ' correction to ' || ReferenceInvoiceId
+               CASE WHEN ChargeClass = 'Correction' THEN ChargeCategory || ' correction to ' || coalesce(ReferenceInvoiceId, 'an invoice not named')
                     ELSE ChargeCategory || ' charges' END AS InvoiceDetailDescription,
-               '{{"ChargeCategory":"' || ChargeCategory || '","ChargeClass":"' || coalesce(ChargeClass, 'None') || '"}}' AS InvoiceDetailGrain
-        FROM (SELECT *, row_number() OVER (ORDER BY InvoiceId, ChargeCategory, coalesce(ChargeClass, ''), charge_month) AS n,
-                     strptime(substr(InvoiceId, 5, 7) || '-01', '%Y-%m-%d')::DATE AS opens,
-                     (strptime(substr(InvoiceId, 5, 7) || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH)::DATE AS closes,
-                     CASE WHEN ChargeClass = 'Correction' THEN 'INV-' || strftime(charge_month, '%Y-%m') || substr(InvoiceId, 12)
-                          ELSE InvoiceId END AS ReferenceInvoiceId
-              FROM (SELECT InvoiceId, ChargeCategory, ChargeClass, charge_month, sum(BilledCost) AS amount
-                    FROM bill WHERE BillingCurrency = 'USD' AND InvoiceId <> '' GROUP BY ALL))"""),
+               '{{"ChargeCategory":"' || ChargeCategory || '","ChargeClass":"' || coalesce(ChargeClass, 'None') || '"}}' AS InvoiceDetailGrain,
+               closes + 8 AS InvoiceDetailCreated, closes + 8 AS InvoiceDetailLastUpdated
+        FROM (SELECT *, row_number() OVER (ORDER BY InvoiceId, BillingCurrency, BillingPeriodStart, ChargeCategory, coalesce(ChargeClass, ''), charge_month) AS n,
+                     CASE WHEN ChargeClass IS DISTINCT FROM 'Correction' THEN InvoiceId
+                          WHEN contains(InvoiceId, strftime(BillingPeriodStart, '%Y-%m'))
+                          THEN replace(InvoiceId, strftime(BillingPeriodStart, '%Y-%m'), strftime(charge_month, '%Y-%m')) END AS ReferenceInvoiceId
+              FROM (SELECT InvoiceId, BillingCurrency, BillingPeriodStart, ChargeCategory, ChargeClass, charge_month, sum(BilledCost) AS amount,
+                           max(BillingPeriodEnd) AS closes, CASE WHEN min(InvoiceIssuerName) = max(InvoiceIssuerName) THEN min(InvoiceIssuerName) END AS InvoiceIssuerName,
+                           CASE WHEN min(BillingAccountId) = max(BillingAccountId) THEN min(BillingAccountId) END AS BillingAccountId
+                    FROM bill WHERE InvoiceId <> '' GROUP BY ALL))"""),
     "amortise_commitment": over_bill("""
         SELECT ContractCommitmentId AS CommitmentDiscountId, ContractCommitmentPeriodStart AS ChargeDay,
                'Purchase' AS ChargeCategory, NULL AS CommitmentDiscountStatus,
@@ -235,7 +262,7 @@ ORACLE = {
                      ELSE CASE WHEN n < 10 THEN 0 ELSE 6 END END AS hours
               FROM (SELECT ContractCommitmentId AS id, ContractCommitmentPeriodStart AS start,
                            unnest(range(date_diff('day', ContractCommitmentPeriodStart, ContractCommitmentPeriodEnd))) AS n
-                    FROM contract), (VALUES ('Used'), ('Unused')) s(status)) WHERE hours > 0""", CONTRACTS),
+                    FROM contract), (VALUES ('Used'), ('Unused')) s(status)) WHERE hours > 0""", EVERY_CONTRACT),
     "gap_explained": over_bill(f"""
         SELECT BillingCurrency, {money('gap')} AS gap, {money('third')} AS third_party,
                {money('timing')} AS commitment_timing, {money('overlap')} AS overlap,

@@ -176,7 +176,7 @@ gone AS (SELECT column_id, min(next_tag) AS removed FROM rules r JOIN tags USING
          WHERE next_tag IS NOT NULL AND NOT EXISTS (FROM rules x WHERE x.column_id = r.column_id AND x.tag = next_tag)
          GROUP BY column_id)"""
 _CITED = f"""
-cited AS (SELECT 'chk_' || p_partkey AS check_id, dataset, column_id, requirements[1] AS text, p_size % 7 = 0 AS derived
+cited AS (SELECT 'chk_' || p_partkey AS check_id, dataset, column_id, unnest(requirements) AS text, p_size % 7 = 0 AS derived
           FROM rules WHERE tag = '{R.BEFORE}')"""
 _EXPORT_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count({c}) FILTER (WHERE x_SchemaEra = '1.0r2') AS o, "

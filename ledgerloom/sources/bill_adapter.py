@@ -107,11 +107,11 @@ def billing_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def contract_commitment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A contract for half of the commitments: one term year, cost as purchased."""
+def contract_commitment(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """A contract for half of the commitments, so that some have none, or for all: one term year, cost as purchased."""
     return (
         bill(spark, sf_dir, "CommitmentDiscountId", "BillingCurrency", "ChargeCategory", "BilledCost")
-        .where("CommitmentDiscountId LIKE '%0'")
+        .where("CommitmentDiscountId IS NOT NULL" if every else "CommitmentDiscountId LIKE '%0'")
         .groupBy(F.col("CommitmentDiscountId").alias("ContractCommitmentId"))
         .agg(F.sum(F.when(F.col("ChargeCategory") == "Purchase", F.col("BilledCost")))
              .alias("ContractCommitmentCost"))

@@ -63,10 +63,10 @@ def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each check cites the first sentence its column had before the move."""
+    """Each check cites every sentence its column had before the move."""
     return rule_table(spark, sf_dir).where(F.col("tag") == BEFORE).select(
         F.concat(F.lit("chk_"), F.col("p_partkey").cast("string")).alias("check_id"), "dataset", "column_id",
-        F.element_at("requirements", 1).alias("text"), (F.col("p_size") % 7 == 0).alias("derived"))
+        F.explode("requirements").alias("text"), (F.col("p_size") % 7 == 0).alias("derived"))
 
 
 RULES_SQL = f"""
