@@ -24,11 +24,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerloom.llm.wordhash import pieces, text_bytes
 
+SAMPLE_SEED = 29
 UNKNOWN = "und"
 WIDTH = 4096
 _LETTER = re.compile(r"[^\W\d_]")
@@ -110,16 +112,27 @@ def _families(centres: dict[str, np.ndarray]) -> list[list[str]]:
     return groups
 
 
-def fit(labelled: DataFrame, per_language: int = 300) -> Model | None:
-    """A model from rows (doc_id, text, lang); None if there is nothing to learn from."""
+def _sampled(labelled: DataFrame, per_language: int, most_languages: int) -> DataFrame:
+    """doc_id, text, lang: about per_language different rows of each language and never more than twice that many.
+
+    A row's place is a hash of all it has, so rows without id and rows of one id are drawn one by one.  Rows alike in id,
+    text and language are one row.  Both windows see only what has passed the draw.
+    """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     usable = usable.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    counts = usable.groupBy("lang").count().collect()
-    if not counts:
-        return None
-    rows = [(r["lang"], int(min(1.0, per_language / r["count"]) * (1 << 30)) + 1) for r in counts]
-    limits = F.broadcast(usable.sparkSession.createDataFrame(rows, "lang string, below long"))
-    sample = usable.join(limits, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("below"))
+    usable = usable.withColumn("drawn", F.xxhash64(F.lit(SAMPLE_SEED), "doc_id", "text", "lang"))
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("drawn").alias("rows")).orderBy(F.desc("rows"), "lang").limit(most_languages).collect()
+    rows = [(r["lang"], int(min(1.0, per_language / max(1, r["rows"])) * (1 << 30)) + 1) for r in counts]
+    limits = F.broadcast(usable.sparkSession.createDataFrame(rows, "lang string, below long"))  # most_languages rows
+    passed = usable.join(limits, "lang").where(F.pmod("drawn", F.lit(1 << 30)) < F.col("below"))
+    once = passed.groupBy("lang", "drawn").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("drawn", F.lit(1 << 30)), "drawn"))
+    return once.withColumn("place", place).where(F.col("place") <= 2 * per_language).select("doc_id", "text", "lang")
+
+
+def fit(labelled: DataFrame, per_language: int = 300, most_languages: int = 512) -> Model | None:
+    """A model from rows (doc_id, text, lang) of the most frequent languages; None if there is nothing to learn from."""
+    sample = _sampled(labelled, per_language, most_languages)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

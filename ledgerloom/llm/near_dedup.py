@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import durable, whole_groups
@@ -189,18 +189,26 @@ def _block_pairs(frame: DataFrame, size: str, block_rows: int):
         lambda k: F.concat_ws("-", F.least(k, F.col("_own")), F.greatest(k, F.col("_own"))))))
 
 
+def text_key(text: Column) -> Column:
+    """What a row's text is found again by; it does not depend on doc_id, which may be null or repeat."""
+    return F.xxhash64(text, F.octet_length(text))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, margin: float | None = None, region_rows: int = 1024,
                     family_rows: int = 512) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id), and two more:
+
+    text_key (text_key() of the row's text) and stands, whether the row is the one that stands for its group: of smallest
+    doc_id, then of smallest text_key; rows alike in both all stand.  Rows without shingles have no group and all stand.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| on their sets of distinct 5-word shingles.
     """
     if margin is None:
         margin = 4.8 * (percent / 100 * (1 - percent / 100) / MINIMA) ** 0.5
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = ids.withColumn("at", F.xxhash64("text", F.octet_length("text")))
+    ids = ids.withColumn("at", text_key(F.col("text")))
     signed = durable(ids.mapInArrow(_signatures, "doc_id long, at long, n_shingles long, node binary, signature binary"))
-    slim = signed.select("doc_id", "n_shingles", "node")
+    slim = signed.select("doc_id", "at", "n_shingles", "node")
     nodes = durable(signed.where("node IS NOT NULL").groupBy("node")
                     .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")).alias("one"),
                          F.first("signature").alias("signature"))
@@ -226,13 +234,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float | None = N
     families = components(compared)
 
     confirmed = components(_exact_links(ids, nodes, families, percent, family_rows))
-    named = nodes.select("node", "first_id").join(confirmed, "node", "left").select(
-        "node", "first_id", F.coalesce("label", "node").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = named.join(smallest, "label").select("node", "component_id")
-    return slim.join(named, "node", "left").select(
+    named = nodes.select("node", "first_id", F.col("at").alias("first_at")).join(confirmed, "node", "left").select(
+        "node", "first_id", "first_at", F.coalesce("label", "node").alias("label"))
+    smallest = named.groupBy("label").agg(F.min(F.struct(
+        F.col("first_id").isNull().alias("no_id"), F.col("first_id").alias("component_id"), F.col("first_at").alias("component_at"),
+        F.col("node").alias("component_node"))).alias("one"))
+    named = named.join(smallest, "label").select("node", "one.component_id", "one.component_at", F.col("one.component_node").alias("head"))
+    joined = slim.join(named, "node", "left")
+    stands = (F.col("node") == F.col("head")) & (F.col("at") == F.col("component_at")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return joined.select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"))
+        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"),
+        F.col("at").alias("text_key"), F.coalesce(stands, F.col("node").isNull()).alias("stands"))
 
 
 def _exact_links(ids, nodes, families, percent: int, family_rows: int) -> DataFrame:

@@ -53,7 +53,7 @@ def op7_license_scan(spark, sf_dir):
 
 
 def op8_near_dedup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "stands")
 
 
 def op9_token_rollup(spark, sf_dir):

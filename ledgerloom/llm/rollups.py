@@ -7,7 +7,7 @@ entries, then its sums, then its commit, each to a folder of its own number, ove
 numbers alone.  So a batch that failed half-way is sent again, and one that is in already changes nothing.
 
 Batches are numbered in order and sent in order.  In one batch the last change of a document and version (largest seq)
-holds.  A delete of what is not there counts nothing.  Null source or lang is a group of its own; a null count is 0; a
+holds; of changes of one seq a delete holds, else the one with most tokens, then the last source and language.  A delete of what is not there counts nothing.  Null source or lang is a group of its own; a null count is 0; a
 null doc_id cannot be looked up later, so commit raises an error on one; document_batches names such rows itself, so
 that each counts as a document.  Repeated rows are one change.  An empty batch commits and adds nothing.
 """
@@ -48,12 +48,12 @@ class Rollup:
 
     def entries(self) -> DataFrame:
         """The standing entry of every document and version, deletes among them."""
-        rows = self._read("entries", _ENTRIES).join(F.broadcast(self.committed()), "batch", "left_semi")
+        rows = self._read("entries", _ENTRIES).join(self.committed(), "batch", "left_semi")
         return rows.groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "tokens", "removed"), "batch").alias("e")).select(*KEY, "e.*")
 
     def totals(self) -> DataFrame:
         """source, lang, version, documents, tokens over the committed batches; groups without documents are left out."""
-        rows = self._read("sums", _SUMS).join(F.broadcast(self.committed()), "batch", "left_semi")
+        rows = self._read("sums", _SUMS).join(self.committed(), "batch", "left_semi")
         sums = rows.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return sums.where("documents <> 0 OR tokens <> 0")
 
@@ -66,7 +66,8 @@ class Rollup:
             raise ValueError(f"batch {batch} comes after batch {max(done)}")
         named = changes.select(F.expr("IF(doc_id IS NULL, raise_error('a change without doc_id'), doc_id)").alias("doc_id"), "version", "source",
                                "lang", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("removed", F.lit(False)).alias("removed"), "seq")
-        last = named.groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "tokens", "removed"), "seq").alias("e")).select(*KEY, "e.*")
+        last = named.groupBy(*KEY).agg(F.max(F.struct("seq", "removed", "tokens", "source", "lang")).alias("e")).select(
+            *KEY, "e.source", "e.lang", "e.tokens", "e.removed")
         self._write(last, "entries", batch)
         new = self.spark.read.parquet(f"{self.folder}/entries/batch={batch}")
         old = self.entries().join(new.select(*KEY), KEY, "left_semi")

@@ -8,8 +8,8 @@ The public model in use is a byte-pair model, whose segmentation is not the path
 merges in order of score; for it the same fold over the same edges merges the best neighbours step by step, on a bit
 mask of boundaries, which gives the library's ids exactly.  Characters without a piece become byte pieces.
 
-Words of more than LONGEST characters, and any in a model with longer pieces than that, are merged in the task that
-has the text, with the same rule and a heap.  The piece table is sent to all tasks; its size is the vocabulary's.
+Words of more than LONGEST characters, and any in a model with longer pieces than that, are segmented in the task that
+has the text, by the model's own rule: merges over a heap, or the path of best total score.  The piece table is sent to all tasks; its size is the vocabulary's.
 
 Null text: null pieces and null decoded text.  Empty text: no pieces.  Texts that hold the meta sign itself decode to
 a space there, as in the library.  Repeated rows are encoded each.  Null doc_ids are kept.  No documents: no rows.
@@ -80,6 +80,35 @@ class Pieces:
         alone = re.escape("".join(chr(c) for c in range(128) if chr(c) not in joined))
         return rf"[{alone}]|{META}*[^{META}{alone}]+|{META}+"
 
+    def whole(self, word: str) -> list[int]:
+        """Ids of a word of any length by the model's own rule."""
+        return self.merged(word) if self.merges else self.best_path(word)
+
+    def best_path(self, word: str) -> list[int]:
+        """Ids of the path of best total score, ties to the smaller ids from the start: the fold of unigram models."""
+        strange = 10 - min(self.scores, default=0.0)
+        cost, came = [0.0], [(0, 0)]
+
+        def path(end: int) -> list[int]:
+            ids = []
+            while end:
+                end, i = came[end]
+                ids.append(i)
+            return ids[::-1]
+
+        for end in range(1, len(word) + 1):
+            best = None
+            for start in range(max(0, end - self.longest), end):
+                i = self.ids.get(word[start:end])
+                if i is None and start < end - 1:
+                    continue
+                total, i = (cost[start] + strange, -1 - ord(word[start])) if i is None else (cost[start] - self.scores[i], i)
+                if best is None or total < best[0] or (total == best[0] and path(start) + [i] < path(best[1]) + [best[2]]):
+                    best = (total, start, i)
+            cost.append(best[0])
+            came.append(best[1:])
+        return [j for i in path(len(word)) for j in ([i] if i >= 0 else self.as_bytes(chr(-1 - i)))]
+
     def merged(self, word: str) -> list[int]:
         """Ids of a word by merges in order of score, leftmost first, over a linked list and a heap."""
         ends = list(range(1, len(word) + 1))
@@ -231,7 +260,7 @@ def encode(docs: DataFrame, pieces: Pieces, block_bytes: int = 8 << 20) -> DataF
         added = {int(slot[place[k]]): [j for i in values[ends[k]:ends[k + 1]].tolist()
                                        for j in ([i] if i >= 0 else pieces.as_bytes(chr(-1 - i)))] for k in strange.tolist()}
         if (size < 0).any():
-            added |= {i: pieces.merged(word) for word, i in number.items() if size[i] < 0}
+            added |= {i: pieces.whole(word) for word, i in number.items() if size[i] < 0}
         extra, at = list(chain.from_iterable(added.values())), len(values)
         for i, ids in added.items():
             start[i], size[i], at = at, len(ids), at + len(ids)

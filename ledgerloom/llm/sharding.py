@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import durable, random_key, running_before
@@ -95,15 +96,29 @@ def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = NEW_
                            "old_shard")
 
 
-def rewrite_affected(docs: DataFrame, assigned: DataFrame, folder: str) -> list[int]:
+def _nth(rows: DataFrame, same: list[str], order: list) -> DataFrame:
+    """rows with _nth, their place among rows alike in the columns."""
+    return rows.withColumn("_nth", F.row_number().over(W.partitionBy(*same).orderBy(*order)))
+
+
+def rewrite_affected(docs: DataFrame, assigned: DataFrame, folder: str, old_shard: Column | None = None) -> list[int]:
     """Write the new files of the shards that gain or lose a document, a folder each, and return those shards.
 
-    Shards that keep just what they had are not touched.  docs and assigned are joined on doc_id, which must be unique.
+    Shards that keep just what they had are not touched.  A row finds its place by what it has, not by its id alone: id,
+    text (by size and crc32, and by equal text where those agree) and old shard.  Of rows alike in all of that each takes one of
+    their places, so ids may be null or repeat and every row is written once.
     """
-    at = assigned.select("doc_id", "shard", "slot", "old_shard")
-    moved = at.where("shard <> old_shard")
-    touched = [r[0] for r in moved.select(F.explode(F.array("shard", "old_shard"))).distinct().collect()]
-    rows = docs.join(at.where(F.col("shard").isin(touched)), "doc_id")
-    (rows.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16))).write.mode("overwrite")
+    old_shard = old_place() if old_shard is None else old_shard
+    touched = [r[0] for r in assigned.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard"))).distinct().collect()]
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    same = ["_id", "_size", "_crc", "_old"]
+    rows = docs.withColumns({"_id": F.col("doc_id"), "_size": size, "_crc": F.crc32(F.col("text").cast("binary")), "_old": old_shard})
+    places = assigned.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"),
+                             F.col("old_shard").alias("_old"), "shard", "slot")
+    rows = _nth(rows, same, [F.lit(1)])
+    places = _nth(places, same, ["shard", "slot"]).select(*[F.col(c).alias(f"p{c}") for c in (*same, "_nth")], "shard", "slot")
+    found = rows.join(places, [F.col(c).eqNullSafe(F.col(f"p{c}")) for c in (*same, "_nth")]).where(F.col("shard").isin(touched))
+    found = found.withColumn("old_shard", F.col("_old")).drop(*same, "_nth", *[f"p{c}" for c in (*same, "_nth")])
+    (found.repartition("shard", F.pmod(F.col("slot"), F.lit(16))).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(str(PurePosixPath(folder))))
     return sorted(touched)

@@ -389,3 +389,55 @@ def test_resharding(spark, documents, hard, nothing, tmp_path):
     written = spark.read.parquet(folder)
     assert {r[0] for r in written.select("shard").distinct().collect()} <= set(touched)
     assert written.count() == rows["shard"].isin(touched).sum()
+
+
+def test_rewrite_keeps_rows_without_id_and_repeats(spark, tmp_path):
+    texts = [(None if i % 3 else i % 7, f"text number {i % 40} " * (i % 5), None, "abc"[i % 3], i) for i in range(300)]
+    docs = spark.createDataFrame([(*t, 1, "n", 0.5, 2) for t in texts], DOCS)
+    assigned = reshard(docs, shards=4)
+    touched = rewrite_affected(docs, assigned, str(tmp_path / "s"))
+    written = spark.read.parquet(str(tmp_path / "s"))
+    wanted = assigned.where(F.col("shard").isin(touched))
+    assert written.count() == wanted.count() > 0
+    got = sorted((r.shard, r.slot, str(r.doc_id), zlib.crc32(r.text.encode()), len(r.text.encode()) + 16) for r in written.collect())
+    assert got == sorted((r.shard, r.slot, str(r.doc_id), r.text_crc32, r.size) for r in wanted.collect())
+    assert sorted(r.n_chars for r in written.collect()) == sorted(set(r.n_chars for r in written.collect()))
+
+
+def test_unigram_words_over_sixty_characters(spark):
+    names = {"▁": -3.0, "▁a": -2.0, "a": -2.5, "b": -2.0, "ab": -3.0, "ba": -1.5, "aba": -4.0}
+    table = Pieces({p: i for i, p in enumerate(names)}, list(names.values()), [9] * 256, 9, False, [p.encode() for p in names] + [b""] * 3)
+    strange = 10 - min(names.values())
+    for word in ["ab" * 39, "abba" * 17 + "?" + "ba" * 4, "a" * 61]:
+        marked = "▁" + word
+        cost = [0.0]
+        for end in range(1, len(marked) + 1):
+            ways = [cost[s] - names[marked[s:end]] for s in range(end) if marked[s:end] in names]
+            cost.append(min(ways) if ways else cost[end - 1] + strange)
+        docs = spark.createDataFrame([(1, word), (2, "ab " + word[:59])], "doc_id long, text string")
+        got = {r.doc_id: r.pieces for r in encode(docs, table).collect()}
+        spent = sum(-list(names.values())[i] if i != 9 else strange for i in got[1])
+        assert math.isclose(spent, cost[-1]) and got[1] == table.best_path(marked)
+        assert got[2] == table.best_path("▁ab") + table.best_path("▁" + word[:59])
+
+
+def test_language_sample_is_bounded(spark):
+    from ledgerloom.llm import language
+
+    words = ["the cat and dog", "und der hund ist", "le chat et la"]
+    rows = [(None, f"{words[i % 3]} {i}", "edf"[i % 3]) for i in range(3000)] + [(7, "the same id and text", "e")] * 2000
+    rows += [(7, f"one id and text {i}", "e") for i in range(500)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = {r.lang: r.n for r in language._sampled(labelled, 50, 512).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert set(drawn) == set("edf") and all(20 <= n <= 100 for n in drawn.values())
+    assert {r.lang for r in language._sampled(labelled, 50, 2).select("lang").distinct().collect()} == {"e", "d"}
+    assert sorted(map(tuple, language._sampled(labelled, 50, 512).collect()), key=str) == sorted(
+        map(tuple, language._sampled(labelled.repartition(7), 50, 512).collect()), key=str)
+
+
+def test_rollup_ties_and_order_of_rows(spark, tmp_path):
+    rows = [(1, "v", "s", "en", 3, False, 0), (1, "v", "t", "fr", 2, False, 0), (2, "v", None, None, 5, False, 0), (2, "v", "a", "en", 5, True, 0)]
+    for name, order in (("a", rows), ("b", rows[::-1])):
+        rollup = rollups.Rollup(spark, str(tmp_path / name))
+        assert rollup.commit(spark.createDataFrame(order, rollups.CHANGES).coalesce(1), 1)
+        assert {tuple(r) for r in rollup.totals().collect()} == {("s", "en", "v", 1, 3)}

@@ -40,3 +40,23 @@ def test_stages_take_effect(spark):
 def test_run(spark):
     got = pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "pieces", "n_pieces", "round_trip"] and got.count() > 100
+
+
+def test_near_dedup_of_rows_without_id_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    text, near, other = " ".join(words), " ".join(words[:-1]), " ".join(reversed(words))
+    rows = [(None, text, "en", "a", 1), (None, near, "en", "b", 2), (None, text, "en", "a", 1), (5, other, "en", "a", 3), (5, other, "de", "a", 3),
+            (5, "another text of the same id here", "en", "a", 4), (6, other + " end", "en", "a", 5), (None, "alone in this table it is", "en", "a", 6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, at long, node string, stands int"
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], schema)
+    got = sorted((str(r.doc_id), r.text[:9], r.lang) for r in pipeline.near_dedup(spark, docs, SF).collect())
+    smaller = min((text, near), key=lambda t: spark.range(1).select(pipeline.text_key(pipeline.F.lit(t))).first()[0])
+    assert got == sorted([("5", other[:9], "de"), ("5", "another t", "en"), ("None", smaller[:9], "en"), ("None", "alone in ", "en")])
+    assert pipeline.near_dedup(spark, docs, SF).count() == 4
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, size long, block int")
+    for _, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0
