@@ -1,8 +1,8 @@
 """From raw documents to training ids: language ID, near-dedup, mixing to weights, sentence pieces.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs.  All but the last return the columns of documents.  doc_id names a document: rows that repeat it are
-taken for repeats of one row.  Rows without doc_id go through every stage as documents of their own.
+stage's docs.  All but the last return the columns of documents.  A document is a row: doc_id may be null or repeat with
+another text.  Rows alike in doc_id and text are copies of one document.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import WORD
 from ledgerloom.llm.language import UNKNOWN, fit, identify
 from ledgerloom.llm.mixing import mix
-from ledgerloom.llm.near_dedup import near_duplicates
+from ledgerloom.llm.near_dedup import near_duplicates, text_key
 from ledgerloom.llm.sentence_pieces import Pieces, decode, default_model, encode
 from ledgerloom.session import ensure_checkpoint_dir
 
@@ -28,10 +29,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of smallest doc_id, at a similarity of 0.8 or more."""
-    kept = near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    chosen = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.select(*COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
+    """One document of each group of near-duplicates, at a similarity of 0.8 or more: the one of smallest doc_id.
+
+    Rows are known by doc_id and text.  A group without any doc_id keeps the row of smallest text key; of rows alike in
+    doc_id and text the one of smallest lang, source and n_chars stays.  Rows without words are in no group and stay.
+    """
+    found = near_duplicates(docs, percent=80)
+    standing = found.where("stands AND n_shingles > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    keyed = docs.select(*COLUMNS, text_key(F.col("text")).alias("_text_key"))
+    chosen = keyed.join(standing, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = chosen.groupBy("doc_id", "_text_key").agg(F.min(F.struct(*rest, "text")).alias("one")).select("doc_id", "one.*").select(*COLUMNS)
+    wordless = docs.where(~F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))).select(*COLUMNS)
+    return one.unionByName(wordless)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ memory) belongs to the deployment and is left alone unless a test asks for it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,10 +48,12 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage; a temporary one only where none is set."""
+    """The shared folder for cut lineage; a temporary one only where none is set and all runs on one machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     folder = configured or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
