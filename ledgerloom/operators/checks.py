@@ -347,8 +347,8 @@ def _per_commitment(frame: DataFrame) -> DataFrame:
         count_where(usage() & ~settled).alias("unstated_rows"))
 
 
-def _tail() -> Column:
-    return F.expr("right(CommitmentDiscountId, 28)").alias("commitment")
+def _named() -> Column:
+    return F.col("CommitmentDiscountId").alias("commitment")
 
 
 @reads(*COMMITMENT_COLUMNS)
@@ -359,7 +359,7 @@ def commitment_closure(frame: DataFrame) -> DataFrame:
     unbought = F.col("purchase_rows") == 0
     return (
         _per_commitment(frame).where("usage_rows > 0 OR purchase_rows > 0").where(unbought | off)
-        .select(_tail(), "BillingCurrency", F.lit("COMMIT-closure").alias("check_id"), F.lit(WARN).alias("severity"),
+        .select(_named(), "BillingCurrency", F.lit("COMMIT-closure").alias("check_id"), F.lit(WARN).alias("severity"),
                 F.when(unbought, "no purchase row in this dataset; closure not evaluable")
                 .otherwise("usage and purchase differ; the dataset may not span the term").alias("finding"),
                 display(F.col("used_cost"), 4).alias("usage_effective"),
@@ -375,7 +375,7 @@ def commitment_split(frame: DataFrame) -> DataFrame:
     return (
         _per_commitment(frame).where("usage_rows > 0")
         .where(F.abs(gap) > F.lit(rulebook.PRODUCT_TOLERANCE).cast("decimal(7,6)"))
-        .select(_tail(), "BillingCurrency", F.lit("COMMIT-split").alias("check_id"), F.lit(FAIL).alias("severity"),
+        .select(_named(), "BillingCurrency", F.lit("COMMIT-split").alias("check_id"), F.lit(FAIL).alias("severity"),
                 display(F.col("used_cost"), 4).alias("usage_effective"),
                 display(F.col("stated_cost"), 4).alias("used_plus_unused"), display(gap, 4).alias("out_by"),
                 "unstated_rows")

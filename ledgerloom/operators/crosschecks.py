@@ -132,14 +132,14 @@ def commitment_term_closure(bill: DataFrame, contracts: DataFrame) -> DataFrame:
         .when(seconds <= 0, "WARN|every usage row falls outside the term")
         .otherwise("INFO|dataset covers part of the term; closure not evaluable"))
     parts = F.split("state", r"\|")
-    tail = F.expr("right(CommitmentDiscountId, 28)")
+    named = F.col("CommitmentDiscountId")
     judged = finding(
-        observed.withColumn("state", state), CLOSURE_CHECK, parts[0], tail, parts[1],
+        observed.withColumn("state", state), CLOSURE_CHECK, parts[0], named, parts[1],
         F.when(~full & (seconds > 0), F.floor(seconds / 86400)), F.col("used"), F.col("bought"))
-    unknown = finding(joined.where("known IS NULL"), CLOSURE_CHECK, INFO, tail,
+    unknown = finding(joined.where("known IS NULL"), CLOSURE_CHECK, INFO, named,
                       "no contract record; term unknown", None, F.col("used"))
     dear = F.abs(F.col("bought") - F.col("contracted")) > _tolerance()
-    disagree = finding(observed.where(full & (F.col("bought") != 0) & dear), CLOSURE_CHECK, FAIL, tail,
+    disagree = finding(observed.where(full & (F.col("bought") != 0) & dear), CLOSURE_CHECK, FAIL, named,
                        "purchases disagree with the contract cost", None, F.col("bought"), F.col("contracted"))
     return _only_if_any(_all(judged, unknown, disagree), contracts)
 

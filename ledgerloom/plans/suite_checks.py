@@ -355,7 +355,7 @@ ORACLE = {
         (f"METRIC-product-{c}", "FAIL", _PRODUCT.format(p=p, c=c), f"'{p} x PricingQuantity does not match {c}'")
         for p, c in (("ListUnitPrice", "ListCost"), ("ContractedUnitPrice", "ContractedCost"))]),
     "check_commitment_closure": over_bill(f"""
-        SELECT right(CommitmentDiscountId, 28) AS commitment, BillingCurrency, 'COMMIT-closure' AS check_id, 'WARN' AS severity,
+        SELECT CommitmentDiscountId AS commitment, BillingCurrency, 'COMMIT-closure' AS check_id, 'WARN' AS severity,
                CASE WHEN purchase_rows = 0 THEN 'no purchase row in this dataset; closure not evaluable'
                     ELSE 'usage and purchase differ; the dataset may not span the term' END AS finding,
                {money('used', 4)} AS usage_effective, CASE WHEN purchase_rows > 0 THEN {money('bought', 4)} END AS purchase_billed,
@@ -363,7 +363,7 @@ ORACLE = {
         FROM commitment WHERE usage_rows + purchase_rows > 0 AND (purchase_rows = 0 OR abs(used - bought) > 0.000001)""",
         ctes=_PER_COMMITMENT),
     "check_commitment_split": over_bill(f"""
-        SELECT right(CommitmentDiscountId, 28) AS commitment, BillingCurrency, 'COMMIT-split' AS check_id, 'FAIL' AS severity,
+        SELECT CommitmentDiscountId AS commitment, BillingCurrency, 'COMMIT-split' AS check_id, 'FAIL' AS severity,
                {money('used', 4)} AS usage_effective, {money('stated', 4)} AS used_plus_unused, {money('used - stated', 4)} AS out_by,
                unstated_rows FROM commitment WHERE usage_rows > 0 AND abs(used - stated) > 0.000001""", ctes=_PER_COMMITMENT),
     "check_cross_column": _rows_sql(
@@ -439,7 +439,7 @@ ORACLE = {
         SELECT 'XDS-commitment-closure', 'FAIL', tail, 'purchases disagree with the contract cost', NULL, bought, contracted
         FROM term WHERE whole AND bought <> 0 AND abs(bought - contracted) > 0.000001""", CONTRACTS + """,
 term AS (
-  SELECT u.*, right(u.CommitmentDiscountId, 28) AS tail, c.ContractCommitmentId AS id, c.ContractCommitmentCost AS contracted,
+  SELECT u.*, u.CommitmentDiscountId AS tail, c.ContractCommitmentId AS id, c.ContractCommitmentCost AS contracted,
          seen_from <= c.ContractCommitmentPeriodStart AND seen_to >= c.ContractCommitmentPeriodEnd AS whole,
          date_diff('second', greatest(seen_from, CAST(c.ContractCommitmentPeriodStart AS TIMESTAMP)),
                    least(seen_to, CAST(c.ContractCommitmentPeriodEnd AS TIMESTAMP))) AS secs
