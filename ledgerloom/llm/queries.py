@@ -16,7 +16,7 @@ from ledgerloom.llm.multi_index import neighbours
 from ledgerloom.llm.near_dedup import near_duplicates
 from ledgerloom.llm.scoring import score_documents
 from ledgerloom.llm.sentence_pieces import Pieces, decode, default_model, encode
-from ledgerloom.llm.sharding import reshard
+from ledgerloom.llm.sharding import resharded_files
 from ledgerloom.llm.whitening import whitened_components
 from ledgerloom.session import ensure_checkpoint_dir
 
@@ -65,7 +65,7 @@ def op9_token_rollup(spark, sf_dir):
 
 
 def op10_sharding(spark, sf_dir):
-    return reshard(table(spark, sf_dir, "documents"))
+    return resharded_files(table(spark, sf_dir, "documents"), f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}")
 
 
 def op11_conversation_trie(spark, sf_dir):

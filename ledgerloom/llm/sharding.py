@@ -4,7 +4,8 @@ Method.  Only the sizes of the old shards come to the driver, a number for each.
 to new ones (staying costs nothing, a moved byte costs one or what `cost` says) gives blocks: so many bytes of old
 shard i go to new shard j.  Inside an old shard the documents stand in hash-random order; a distributed prefix sum
 gives each its place, and the place of its middle byte picks the block.  Then slots are numbered the same way.  New
-shards differ from the mean by less than one document for each block they are made of.
+shards differ from the mean by less than one document for each block they are made of.  At last the shards that gain
+or lose a document are written anew from whole rows; the others keep their files.
 
 Law `bytes`: sizes near equal.  Null text: 16 bytes, its crc32 null.  A null source lies in the old shard of the empty
 name.  Rows alike in every column share their places in any order.  No documents: no rows.
@@ -13,15 +14,18 @@ name.  Rows alike in every column share their places in any order.  No documents
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import PurePosixPath
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import durable, random_key, running_before
 
 OLD_SHARDS, NEW_SHARDS, SEED = 32, 40, 23
+#: Copies of one row that a task numbers at a time.
+COPIES = 4096
+#: What a row is known by, and the names it has on the way.
+ALIKE = {"doc_id": "__id", "size": "__size", "text_crc32": "__crc", "old_shard": "__old"}
 
 
 def cheapest_transfers(sizes: list[int], capacities: list[int],
@@ -64,14 +68,28 @@ def old_place(shards: int = OLD_SHARDS) -> Column:
     return F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(shards)).cast("int")
 
 
+def _known_by(old_shard: Column | None) -> dict[str, Column]:
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    return {"doc_id": F.col("doc_id"), "size": size, "text_crc32": F.crc32(F.col("text").cast("binary")),
+            "old_shard": old_place() if old_shard is None else old_shard}
+
+
+def _numbered_copies(rows: DataFrame) -> DataFrame:
+    """The rows with _copy, from 0 within rows alike in every column: counted, then dealt out again in runs of COPIES."""
+    runs = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES))))
+    spread = runs.hint("rebalance")
+    first = F.col("_run") * COPIES
+    copy = F.explode(F.sequence(first, F.least(first + COPIES, F.col("_n")) - 1))
+    return spread.withColumn("_copy", copy).drop("_n", "_run")
+
+
 def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = NEW_SHARDS, seed: int = SEED,
             capacities: list[int] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), and old_shard."""
-    old_shard = old_place() if old_shard is None else old_shard
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    slim = docs.select("doc_id", size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-                       old_shard.alias("old_shard"), random_key(F.col("doc_id"), seed=seed).alias("_key"))
-    slim = durable(slim)
+    order = ["doc_id", "size", "text_crc32", "_copy"]
+    copies = _numbered_copies(docs.select(*[c.alias(n) for n, c in _known_by(old_shard).items()]))
+    slim = durable(copies.withColumn("_key", random_key(*[F.col(c) for c in order], seed=seed)))
     spark = docs.sparkSession
     sizes = {r[0]: r[1] for r in slim.groupBy("old_shard").agg(F.sum("size")).collect()}
     supply = [sizes.get(i, 0) for i in range(max([*sizes, 0]) + 1)]
@@ -85,7 +103,6 @@ def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = NEW_
             for i, own in blocks.items()]
     # As many rows as old shards, together at most as many cuts as old and new shards.
     cuts = F.broadcast(spark.createDataFrame(rows, "old_shard int, cuts array<bigint>, news array<int>"))
-    order = ["doc_id", "size", "text_crc32"]
     placed = running_before(slim, ["old_shard"], "_key", order, {"start": "size"}).join(cuts, "old_shard")
     middle = F.col("start") + F.floor(F.col("size") / 2)
     block = F.size(F.filter("cuts", lambda c: c <= middle)) + 1
@@ -96,29 +113,56 @@ def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = NEW_
                            "old_shard")
 
 
-def _nth(rows: DataFrame, same: list[str], order: list) -> DataFrame:
-    """rows with _nth, their place among rows alike in the columns."""
-    return rows.withColumn("_nth", F.row_number().over(W.partitionBy(*same).orderBy(*order)))
+def _nth(rows: DataFrame, same: list[str], *named: str) -> DataFrame:
+    """rows with __nth, their number among rows alike in the columns; they differ in those named, and no task gets all."""
+    keyed = rows.withColumns({"__key": random_key(*[F.col(c) for c in named], seed=SEED), "__one": F.lit(1).cast("long")})
+    return running_before(keyed, same, "__key", list(named), {"__nth": "__one"}).drop("__key", "__one")
+
+
+def _alike(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    return reduce(Column.__and__, [left[c].eqNullSafe(right[f"{c}_"]) for c in columns])
 
 
 def rewrite_affected(docs: DataFrame, assigned: DataFrame, folder: str, old_shard: Column | None = None) -> list[int]:
     """Write the new files of the shards that gain or lose a document, a folder each, and return those shards.
 
     Shards that keep just what they had are not touched.  A row finds its place by what it has, not by its id alone: id,
-    text (by size and crc32, and by equal text where those agree) and old shard.  Of rows alike in all of that each takes one of
-    their places, so ids may be null or repeat and every row is written once.
+    size, crc32 and old shard.  One that is alone in that takes its place in one join, whose crowded keys Spark's skew
+    handling splits; rows alike are numbered, as their places are, and the numbers meet.  So ids may be null or repeat and
+    every row is written once.  The writing tasks are cut by size, not by a number of files.
     """
-    old_shard = old_place() if old_shard is None else old_shard
-    touched = [r[0] for r in assigned.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard"))).distinct().collect()]
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    same = ["_id", "_size", "_crc", "_old"]
-    rows = docs.withColumns({"_id": F.col("doc_id"), "_size": size, "_crc": F.crc32(F.col("text").cast("binary")), "_old": old_shard})
-    places = assigned.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"),
-                             F.col("old_shard").alias("_old"), "shard", "slot")
-    rows = _nth(rows, same, [F.lit(1)])
-    places = _nth(places, same, ["shard", "slot"]).select(*[F.col(c).alias(f"p{c}") for c in (*same, "_nth")], "shard", "slot")
-    found = rows.join(places, [F.col(c).eqNullSafe(F.col(f"p{c}")) for c in (*same, "_nth")]).where(F.col("shard").isin(touched))
-    found = found.withColumn("old_shard", F.col("_old")).drop(*same, "_nth", *[f"p{c}" for c in (*same, "_nth")])
-    (found.repartition("shard", F.pmod(F.col("slot"), F.lit(16))).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(str(PurePosixPath(folder))))
-    return sorted(touched)
+    same = list(ALIKE.values())
+    touched = sorted(r[0] for r in assigned.where("shard <> old_shard")
+                     .select(F.explode(F.array("shard", "old_shard"))).distinct().collect())
+    known = docs.withColumns({ALIKE[n]: c for n, c in _known_by(old_shard).items()}).drop("shard", "slot", "old_shard")
+    places = assigned.select(*[F.col(n).alias(f"{a}_") for n, a in ALIKE.items()], "shard", "slot")
+    spots = places.groupBy(*[f"{c}_" for c in same]).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("shard").alias("shard"), F.min("slot").alias("slot"))
+    found = known.join(spots, _alike(known, spots, same))
+    alone = found.where("__n = 1")
+    rows = found.where("__n > 1").drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id())
+    rows = _nth(durable(rows), same, "__row").drop("__n", "__row", *[f"{c}_" for c in same])
+    shared = places.join(spots.where("__n > 1").select(*[F.col(f"{c}_").alias(c) for c in same]).alias("s"),
+                         reduce(Column.__and__, [F.col(f"{c}_").eqNullSafe(F.col(c)) for c in same]), "left_semi")
+    shared = _nth(shared, [f"{c}_" for c in same], "shard", "slot").withColumnRenamed("__nth", "__nth_")
+    repeats = rows.join(shared, _alike(rows, shared, [*same, "__nth"]))
+    columns = [*[c for c in docs.columns if c not in ("shard", "slot", "old_shard")], F.col("__old").alias("old_shard"), "shard", "slot"]
+    whole = alone.select(*columns).unionByName(repeats.select(*columns)).where(F.col("shard").isin(touched))
+    whole.hint("rebalance", "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+    return touched
+
+
+def resharded_files(docs: DataFrame, folder: str, old_shard: Column | None = None) -> DataFrame:
+    """The assignment after its affected files are written: rows of those as read back from them, the others' as assigned.
+
+    moved tells whether a row left its old shard.
+    """
+    assigned = durable(reshard(docs, old_shard))
+    touched = rewrite_affected(docs, assigned, folder, old_shard)
+    if touched:
+        written = docs.sparkSession.read.parquet(folder)
+        read = _known_by(F.col("old_shard"))
+        seen = written.select(*[read[c].alias(c) for c in ("doc_id", "size", "text_crc32")], F.lit("bytes").alias("law"),
+                              F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+        assigned = seen.unionByName(assigned.where(~F.col("shard").isin(touched)))
+    return assigned.withColumn("moved", F.col("shard") != F.col("old_shard"))

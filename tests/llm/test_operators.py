@@ -23,7 +23,7 @@ from ledgerloom.llm.multi_index import neighbours  # noqa: E402
 from ledgerloom.llm.near_dedup import near_duplicates  # noqa: E402
 from ledgerloom.llm.scoring import Spelling, prefix_code, score_documents, spelled_words, word_experts  # noqa: E402
 from ledgerloom.llm.sentence_pieces import Pieces, decode, default_model, encode, segmented  # noqa: E402
-from ledgerloom.llm.sharding import cheapest_transfers, reshard, rewrite_affected  # noqa: E402
+from ledgerloom.llm.sharding import cheapest_transfers, reshard, resharded_files, rewrite_affected  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, node string, score double, block int"
@@ -404,6 +404,26 @@ def test_rewrite_keeps_rows_without_id_and_repeats(spark, tmp_path):
     assert sorted(r.n_chars for r in written.collect()) == sorted(set(r.n_chars for r in written.collect()))
 
 
+def test_files_read_back_are_the_assignment(spark, tmp_path, hard, nothing):
+    texts = [(None if i % 3 else i % 7, f"text number {i % 40} " * (i % 5), None, "abc"[i % 3], i) for i in range(300)]
+    texts += [(None, "one row many times", "en", "a", 18)] * 9000
+    docs = spark.createDataFrame([(*t, 1, "n", 0.5, 2) for t in texts], DOCS).withColumn("shard", F.lit("clash")).withColumn("_id", F.lit(1))
+    shape = ["doc_id", "size", "text_crc32", "shard", "slot", "old_shard"]
+    got = resharded_files(docs, str(tmp_path / "s")).select(*shape).toPandas()
+    assert len(got) == len(texts) and not got.duplicated(["shard", "slot"]).any()
+    # The same rows with the same copies: each of the input's, as often as it is there.
+    count = Counter((t[0], len(t[1].encode()) + 16, zlib.crc32(t[1].encode())) for t in texts)
+    assert Counter((None if math.isnan(i) else int(i), z, c) for i, z, c in zip(got["doc_id"], got["size"], got["text_crc32"], strict=True)) == count
+    assert all(sorted(own["slot"]) == list(range(len(own))) for _, own in got.groupby("shard"))
+    spread = got.groupby("shard")["size"].sum()
+    assert spread.max() - spread.min() <= 6 * got["size"].max()
+    again = resharded_files(docs.repartition(7), str(tmp_path / "again")).select(*shape).toPandas()
+    order = ["shard", "slot"]
+    assert got.sort_values(order).reset_index(drop=True).equals(again.sort_values(order).reset_index(drop=True))
+    assert resharded_files(hard, str(tmp_path / "hard")).count() == len(HARD)
+    assert resharded_files(nothing, str(tmp_path / "none")).count() == 0
+
+
 def test_unigram_words_over_sixty_characters(spark):
     names = {"▁": -3.0, "▁a": -2.0, "a": -2.5, "b": -2.0, "ab": -3.0, "ba": -1.5, "aba": -4.0}
     table = Pieces({p: i for i, p in enumerate(names)}, list(names.values()), [9] * 256, 9, False, [p.encode() for p in names] + [b""] * 3)
