@@ -13,17 +13,19 @@ name.  Rows alike in every column share their places in any order.  No documents
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import durable, random_key, running_before
 
 OLD_SHARDS, NEW_SHARDS, SEED = 32, 40, 23
-#: Copies of one row that a task numbers at a time.
-COPIES = 4096
+#: Copies of one row that a task numbers at a time; buckets that tell where rows alike may be; bytes of texts in a file.
+COPIES, BUCKETS, FILE_BYTES = 4096, 1 << 16, 1 << 27
 #: What a row is known by, and the names it has on the way.
 ALIKE = {"doc_id": "__id", "size": "__size", "text_crc32": "__crc", "old_shard": "__old"}
 
@@ -86,7 +88,10 @@ def _numbered_copies(rows: DataFrame) -> DataFrame:
 
 def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = NEW_SHARDS, seed: int = SEED,
             capacities: list[int] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), and old_shard."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), old_shard and place_key.
+
+    place_key is the row's place in the hash order, in which a shard's slots rise.
+    """
     order = ["doc_id", "size", "text_crc32", "_copy"]
     copies = _numbered_copies(docs.select(*[c.alias(n) for n, c in _known_by(old_shard).items()]))
     slim = durable(copies.withColumn("_key", random_key(*[F.col(c) for c in order], seed=seed)))
@@ -110,7 +115,7 @@ def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = NEW_
     numbered = running_before(placed, ["shard"], "_key", order, {"slot": "_one"})
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                            F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-                           "old_shard")
+                           "old_shard", F.col("_key").alias("place_key"))
 
 
 def _nth(rows: DataFrame, same: list[str], *named: str) -> DataFrame:
@@ -123,32 +128,64 @@ def _alike(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     return reduce(Column.__and__, [left[c].eqNullSafe(right[f"{c}_"]) for c in columns])
 
 
-def rewrite_affected(docs: DataFrame, assigned: DataFrame, folder: str, old_shard: Column | None = None) -> list[int]:
+def _crowded(known: DataFrame, repeats: DataFrame, same: list[str]) -> Column:
+    """Whether a row of known may have rows alike it: its bucket has some.  All that is sent is one bit a bucket."""
+    bucket = F.pmod(F.xxhash64(*same), F.lit(BUCKETS)).cast("int")
+    full = {r[0] for r in repeats.select(bucket.alias("b")).distinct().collect()}
+    marks = "".join("1" if b in full else "0" for b in range(BUCKETS)) if full else "0"
+    return F.substring(F.lit(marks), (bucket if full else F.lit(0)) + 1, F.lit(1)) == "1"
+
+
+def _places_of_crowded(rows: DataFrame, places: DataFrame, spots: DataFrame, same: list[str]) -> DataFrame:
+    """rows with shard and __key: one that is alone takes its place, rows alike are numbered, as their places are."""
+    found = rows.join(spots, _alike(rows, spots, same))
+    alone = found.where("__n = 1").drop("__n")
+    shared_rows = found.where("__n > 1").drop("__n", "shard", "__key").withColumn("__row", F.monotonically_increasing_id())
+    shared_rows = _nth(durable(shared_rows), same, "__row").drop(*[f"{c}_" for c in same])
+    keys = spots.where("__n > 1").select(*[F.col(f"{c}_").alias(c) for c in same])
+    shared = _nth(places.join(keys, _alike(keys, places, same), "left_semi"), [f"{c}_" for c in same], "shard", "slot")
+    shared = shared.select(*[f"{c}_" for c in same], F.col("__nth").alias("__nth_"), "shard", F.col("place_key").alias("__place"))
+    numbered = shared_rows.join(shared, _alike(shared_rows, shared, [*same, "__nth"])).withColumn("__key", F.col("__place"))
+    return alone.select(*rows.columns, "shard", "__key").unionByName(numbered.select(*rows.columns, "shard", "__key"))
+
+
+def rewrite_affected(docs: DataFrame, assigned: DataFrame, folder: str, old_shard: Column | None = None, seed: int = SEED) -> list[int]:
     """Write the new files of the shards that gain or lose a document, a folder each, and return those shards.
 
-    Shards that keep just what they had are not touched.  A row finds its place by what it has, not by its id alone: id,
-    size, crc32 and old shard.  One that is alone in that takes its place in one join, whose crowded keys Spark's skew
-    handling splits; rows alike are numbered, as their places are, and the numbers meet.  So ids may be null or repeat and
-    every row is written once.  The writing tasks are cut by size, not by a number of files.
+    Shards that keep just what they had are not touched.  assigned is what reshard gave for the same documents and seed.  A row's
+    text moves once: each block of the flow is a stretch of the hash order, so a row finds its shard from the stretches'
+    ends (at most old times new shards, sent to all tasks), and its slot from its number in a range of that order and
+    the slot where the range begins.  Ranges hold about FILE_BYTES, a file each.  Only rows that may have others alike in
+    id, size, crc32 and old shard look their places up, so ids may be null or repeat and every row is written once.
     """
     same = list(ALIKE.values())
     touched = sorted(r[0] for r in assigned.where("shard <> old_shard")
                      .select(F.explode(F.array("shard", "old_shard"))).distinct().collect())
+    if not touched:
+        return touched
+    spans = assigned.withColumn("at", F.struct("place_key", "doc_id", "size", "text_crc32")).groupBy("old_shard", "shard").agg(
+        F.min("at").alias("low"), F.max("at").alias("high"))
+    spans = spans.groupBy(F.col("old_shard").alias("__from")).agg(F.collect_list(F.struct("low", "high", "shard")).alias("__spans"))
     known = docs.withColumns({ALIKE[n]: c for n, c in _known_by(old_shard).items()}).drop("shard", "slot", "old_shard")
-    places = assigned.select(*[F.col(n).alias(f"{a}_") for n, a in ALIKE.items()], "shard", "slot")
+    places = assigned.select(*[F.col(n).alias(f"{a}_") for n, a in ALIKE.items()], "shard", "slot", "place_key")
     spots = places.groupBy(*[f"{c}_" for c in same]).agg(
-        F.count(F.lit(1)).alias("__n"), F.min("shard").alias("shard"), F.min("slot").alias("slot"))
-    found = known.join(spots, _alike(known, spots, same))
-    alone = found.where("__n = 1")
-    rows = found.where("__n > 1").drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id())
-    rows = _nth(durable(rows), same, "__row").drop("__n", "__row", *[f"{c}_" for c in same])
-    shared = places.join(spots.where("__n > 1").select(*[F.col(f"{c}_").alias(c) for c in same]).alias("s"),
-                         reduce(Column.__and__, [F.col(f"{c}_").eqNullSafe(F.col(c)) for c in same]), "left_semi")
-    shared = _nth(shared, [f"{c}_" for c in same], "shard", "slot").withColumnRenamed("__nth", "__nth_")
-    repeats = rows.join(shared, _alike(rows, shared, [*same, "__nth"]))
-    columns = [*[c for c in docs.columns if c not in ("shard", "slot", "old_shard")], F.col("__old").alias("old_shard"), "shard", "slot"]
-    whole = alone.select(*columns).unionByName(repeats.select(*columns)).where(F.col("shard").isin(touched))
-    whole.hint("rebalance", "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+        F.count(F.lit(1)).alias("__n"), F.min("shard").alias("shard"), F.min("place_key").alias("__key"))
+    crowded = _crowded(known, spots.where("__n > 1").select(*[F.col(f"{c}_").alias(c) for c in same]), same)
+    key = random_key(F.col("__id"), F.col("__size"), F.col("__crc"), F.lit(0), seed=seed)
+    at = F.struct(F.col("__key").alias("place_key"), F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"))
+    own = known.where(~crowded).withColumn("__key", key).join(F.broadcast(spans), F.col("__old") == F.col("__from"))
+    own = own.withColumn("shard", F.filter("__spans", lambda s: (s["low"] <= at) & (at <= s["high"]))[0]["shard"])
+    rows = own.select(*known.columns, "shard", "__key").unionByName(_places_of_crowded(known.where(crowded), places, spots, same))
+    total = assigned.agg(F.sum("size")).first()[0]
+    bits = max(0, math.ceil(math.log2(total / (FILE_BYTES * len(touched)))))
+    starts = assigned.groupBy(F.col("shard").alias("__shard"), F.shiftright("place_key", 60 - bits).alias("__in")).agg(F.min("slot").alias("__start"))
+    rows = rows.where(F.col("shard").isin(touched)).withColumn("__range", F.shiftright("__key", 60 - bits)).repartition("shard", "__range")
+    order = W.partitionBy("shard", "__range").orderBy("__key", "__id", "__size", "__crc")
+    rows = rows.withColumn("__nth", F.row_number().over(order)).join(
+        starts, (F.col("shard") == F.col("__shard")) & (F.col("__range") == F.col("__in")))
+    columns = [*[c for c in docs.columns if c not in ("shard", "slot", "old_shard")], F.col("__old").alias("old_shard"), "shard",
+               (F.col("__start") + F.col("__nth") - 1).alias("slot")]
+    (rows.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder))
     return touched
 
 
@@ -164,5 +201,5 @@ def resharded_files(docs: DataFrame, folder: str, old_shard: Column | None = Non
         read = _known_by(F.col("old_shard"))
         seen = written.select(*[read[c].alias(c) for c in ("doc_id", "size", "text_crc32")], F.lit("bytes").alias("law"),
                               F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
-        assigned = seen.unionByName(assigned.where(~F.col("shard").isin(touched)))
-    return assigned.withColumn("moved", F.col("shard") != F.col("old_shard"))
+        assigned = seen.unionByName(assigned.drop("place_key").where(~F.col("shard").isin(touched)))
+    return assigned.drop("place_key").withColumn("moved", F.col("shard") != F.col("old_shard"))
