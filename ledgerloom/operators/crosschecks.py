@@ -24,21 +24,30 @@ def _tolerance() -> Column:
     return F.lit(PRODUCT_TOLERANCE).cast("decimal(7,6)")
 
 
-def finding(frame: DataFrame, check: str, severity, subject: Column, text, count=None, left=None,
-            right=None) -> DataFrame:
+def _found(check: str, severity, subject: Column, text, count=None, left=None, right=None) -> Column:
     """The common shape: what, how strong, about whom, and the figures behind it."""
     def column(value, kind):
         if value is None:
             return F.lit(None).cast(kind)
         return (value if isinstance(value, Column) else F.lit(value)).cast(kind)
 
-    return frame.select(
+    return F.struct(
         F.lit(check).alias("check_id"), column(severity, "string").alias("severity"),
         subject.cast("string").alias("subject"), column(text, "string").alias("finding"),
         column(count, "bigint").alias("row_count"), column(left, "decimal(28,4)").alias("left_amount"),
         column(right, "decimal(28,4)").alias("right_amount"))
 
 
+def finding(frame: DataFrame, *shape, **figures) -> DataFrame:
+    return frame.select(_found(*shape, **figures).alias("found")).select("found.*")
+
+
+def _each(frame: DataFrame, *entries: Column) -> DataFrame:
+    """A row for every entry that is not null; entries are structs of one type."""
+    made = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    return frame.select(F.explode(made).alias("found")).select("found.*")
+
+
 def _all(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -49,6 +58,12 @@ def _only_if_any(found: DataFrame, authority: DataFrame) -> DataFrame:
     return found.crossJoin(F.broadcast(probe)).drop("_probe")
 
 
+def _keyed(keys: list[str], *sides: DataFrame) -> DataFrame:
+    """Sides of one row a key put together: a key's columns of every side, null where that side lacks it; one shuffle."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
+    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in stacked.columns if c not in keys])
+
+
 # ---- invoices ---------------------------------------------------------------
 
 INVOICE_CHECK = "XDS-invoice-reconciliation"
@@ -57,30 +72,43 @@ INVOICE_CHECK = "XDS-invoice-reconciliation"
 @reads("InvoiceId", "BillingCurrency", "BilledCost")
 def invoice_reconciliation(bill: DataFrame, invoices: DataFrame) -> DataFrame:
     """Per invoice and currency, where both sides know it; the rest is reported apart."""
+    keys = ["InvoiceId", "BillingCurrency"]
     named = F.col("InvoiceId") != ""
-    cost = bill.where(named).groupBy("InvoiceId", "BillingCurrency").agg(
-        F.coalesce(total("BilledCost"), F.lit(0)).alias("cost_total"))
-    stated = (
-        invoices.where(named & F.col("BilledCost").isNotNull()).groupBy("InvoiceId", "BillingCurrency")
-        .agg(total("BilledCost").alias("line_total"))
-    )
-    both = stated.join(cost, ["InvoiceId", "BillingCurrency"], "left")
-    subject = F.concat("InvoiceId", F.lit(" ["), "BillingCurrency", F.lit("]"))
+    both = _keyed(
+        keys,
+        bill.groupBy(*keys).agg(rows().alias("cost_rows"), F.coalesce(total("BilledCost"), F.lit(0)).alias("cost_total")),
+        invoices.groupBy(*keys).agg(rows().alias("lines"), total("BilledCost").alias("line_total")))
+    # A currency that is not known meets no other.
+    seen = F.coalesce((F.col("cost_rows") > 0) & F.col("BillingCurrency").isNotNull(), F.lit(False))
     apart = F.abs(F.col("cost_total") - F.col("line_total")) > _tolerance()
-    broken = both.where(F.col("cost_total").isNull() | apart)
-    per_key = finding(
-        broken, INVOICE_CHECK, F.when(F.col("cost_total").isNull(), WARN).otherwise(FAIL), subject,
-        F.when(F.col("cost_total").isNull(), "no cost row carries this invoice; not evaluable")
-        .otherwise("cost rows and invoice lines differ"), None, F.col("cost_total"), F.col("line_total"))
-    outside = bill.agg(count_where(F.coalesce("InvoiceId", F.lit("")) == "").alias("n"), rows().alias("of"))
-    unattributed = finding(
-        outside.where("n > 0"), INVOICE_CHECK, INFO, F.lit("cost rows without an invoice"),
-        F.concat(ratio(F.col("n"), F.col("of"), 0).cast("long").cast("string"),
-                 F.lit("% of rows are outside reconciliation")), F.col("n"))
-    shared = finding(
-        both.agg(F.count("cost_total").alias("n")).where("n > 0"), INVOICE_CHECK, INFO,
-        F.lit("invoices reconciled"), "reconciled on the named key", F.col("n"))
-    return _only_if_any(_all(per_key, unattributed, shared), invoices)
+    stated = F.coalesce(named, F.lit(False)) & F.col("line_total").isNotNull()
+    nothing = F.lit(0).cast("bigint")
+    # A key's own verdict, and what it adds to the sums over all keys; the sums melt into one row before the shuffle.
+    own = F.struct(
+        F.concat("InvoiceId", F.lit(" ["), "BillingCurrency", F.lit("]")).alias("subject"), F.when(seen, "apart").otherwise("unseen").alias("part"),
+        F.when(seen, F.col("cost_total")).alias("cost_total"), F.col("line_total"), F.lit(1).cast("bigint").alias("n"),
+        nothing.alias("of"), nothing.alias("lines"), nothing.alias("shared"))
+    sums = F.struct(
+        F.lit(None).cast("string").alias("subject"), F.lit("all").alias("part"),
+        *[F.lit(None).cast(both.schema[c].dataType).alias(c) for c in ("cost_total", "line_total")],
+        F.when(F.coalesce("InvoiceId", F.lit("")) == "", F.coalesce("cost_rows", nothing)).otherwise(nothing).alias("n"),
+        F.coalesce("cost_rows", nothing).alias("of"), F.coalesce("lines", nothing).alias("lines"), (stated & seen).cast("bigint").alias("shared"))
+    melted = _each(both, F.when(stated & (~seen | apart), own), sums).groupBy("part", "subject", "cost_total", "line_total").agg(
+        *[F.sum(c).alias(c) for c in ("n", "of", "lines", "shared")])
+    unseen, whole = F.col("part") == "unseen", F.col("part") == "all"
+    per_key = _found(
+        INVOICE_CHECK, F.when(unseen, WARN).otherwise(FAIL), F.col("subject"),
+        F.when(unseen, "no cost row carries this invoice; not evaluable").otherwise("cost rows and invoice lines differ"),
+        None, F.col("cost_total"), F.col("line_total"))
+    unattributed = _found(
+        INVOICE_CHECK, INFO, F.lit("cost rows without an invoice"),
+        F.concat(ratio(F.col("n"), F.col("of"), 0).cast("long").cast("string"), F.lit("% of rows are outside reconciliation")), F.col("n"))
+    shared = _found(INVOICE_CHECK, INFO, F.lit("invoices reconciled"), "reconciled on the named key", F.col("shared"))
+    # Two invoices of unknown currency may be alike in subject and sum: as many findings as there are keys.
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.when(whole, F.lit(1).cast("bigint")).otherwise(F.col("n"))))
+    return _each(melted.select("*", times.alias("_time")), F.when(~whole, per_key),
+                 F.when(whole & (F.col("lines") > 0) & (F.col("n") > 0), unattributed),
+                 F.when(whole & (F.col("shared") > 0), shared))
 
 
 ORPHAN_CHECK = "XDS-invoice-orphan-cost-side"
@@ -123,7 +151,7 @@ def commitment_term_closure(bill: DataFrame, contracts: DataFrame) -> DataFrame:
     joined = spent.join(terms, "CommitmentDiscountId", "left")
     seconds = F.timestamp_diff("SECOND", F.greatest("seen_from", "opens"), F.least("seen_to", "closes"))
     # greatest/least skip nulls, so an unobserved commitment is removed first.
-    observed = joined.where(F.col("known") & F.col("seen_from").isNotNull() & F.col("seen_to").isNotNull())
+    observed = F.coalesce(F.col("known"), F.lit(False)) & F.col("seen_from").isNotNull() & F.col("seen_to").isNotNull()
     full = (F.col("seen_from") <= F.col("opens")) & (F.col("seen_to") >= F.col("closes"))
     closes = F.abs(F.col("used") - F.col("bought")) <= _tolerance()
     state = (
@@ -133,15 +161,14 @@ def commitment_term_closure(bill: DataFrame, contracts: DataFrame) -> DataFrame:
         .otherwise("INFO|dataset covers part of the term; closure not evaluable"))
     parts = F.split("state", r"\|")
     named = F.col("CommitmentDiscountId")
-    judged = finding(
-        observed.withColumn("state", state), CLOSURE_CHECK, parts[0], named, parts[1],
-        F.when(~full & (seconds > 0), F.floor(seconds / 86400)), F.col("used"), F.col("bought"))
-    unknown = finding(joined.where("known IS NULL"), CLOSURE_CHECK, INFO, named,
-                      "no contract record; term unknown", None, F.col("used"))
+    judged = _found(CLOSURE_CHECK, parts[0], named, parts[1], F.when(~full & (seconds > 0), F.floor(seconds / 86400)),
+                    F.col("used"), F.col("bought"))
+    unknown = _found(CLOSURE_CHECK, INFO, named, "no contract record; term unknown", None, F.col("used"))
     dear = F.abs(F.col("bought") - F.col("contracted")) > _tolerance()
-    disagree = finding(observed.where(full & (F.col("bought") != 0) & dear), CLOSURE_CHECK, FAIL, named,
-                       "purchases disagree with the contract cost", None, F.col("bought"), F.col("contracted"))
-    return _only_if_any(_all(judged, unknown, disagree), contracts)
+    disagree = _found(CLOSURE_CHECK, FAIL, named, "purchases disagree with the contract cost", None, F.col("bought"), F.col("contracted"))
+    found = _each(joined.withColumn("state", state), F.when(observed, judged), F.when(F.col("known").isNull(), unknown),
+                  F.when(observed & full & (F.col("bought") != 0) & dear, disagree))
+    return _only_if_any(found, contracts)
 
 
 # ---- periods ----------------------------------------------------------------
@@ -226,31 +253,47 @@ def correction_rules(bill: DataFrame, invoices: DataFrame | None, periods: DataF
         bill.where(F.col("ChargeClass") == "Correction")
         .groupBy("InvoiceId", charge_day().alias("day")).agg(rows().alias("n"))
     )
-    unnamed = made.where(F.coalesce("InvoiceId", F.lit("")) == "").agg(F.sum("n").alias("n")).where("n > 0")
-    named = made.where(F.col("InvoiceId") != "")
-    found = [finding(unnamed, CORRECTION_CHECK, WARN, F.lit("corrections without an invoice"),
-                     "cut-off discipline is not evaluable", F.col("n"))]
+
+    def entry(part: str, key: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(part).alias("part"), key.cast("string").alias("key"), F.col("n")))
+
+    blank = F.coalesce("InvoiceId", F.lit("")) == ""
+    entries = [entry("none", F.lit(""), blank)]
+    sides, flags = [], {}
     if invoices is not None:
-        references = invoices.where(F.col("ReferenceInvoiceId") != F.col("InvoiceId")).select("InvoiceId").distinct()
-        silent = named.groupBy("InvoiceId").agg(F.sum("n").alias("n")).join(references, "InvoiceId", "left_anti")
-        found.append(_only_if_any(
-            finding(silent, CORRECTION_CHECK, FAIL, F.col("InvoiceId"),
-                    "no line on this invoice names what is corrected", F.col("n")), invoices))
+        entries.append(entry("invoice", F.col("InvoiceId"), ~blank))
+        flags["has_invoices"] = invoices
+        sides.append(invoices.where(F.col("ReferenceInvoiceId") != F.col("InvoiceId")).select(
+            F.lit("invoice").alias("part"), F.col("InvoiceId").alias("key"), F.lit("named").alias("status")).distinct())
     if periods is not None:
+        entries.append(entry("day", F.col("day"), ~blank))
         days = (
             by_civil_day(periods.select(civil("BillingPeriodStart").alias("opens"),
                                         civil("BillingPeriodEnd").alias("closes"), "BillingPeriodStatus"),
                          "opens", "closes")
             .groupBy("day").agg(F.min_by("BillingPeriodStatus", F.struct("opens", "closes")).alias("status"))
         )
-        judged = named.groupBy("day").agg(F.sum("n").alias("n")).join(days, "day", "left")
-        closed = F.lower("status") == "closed"
-        found.append(_only_if_any(
-            finding(judged, CORRECTION_CHECK, F.when(closed, INFO).otherwise(FAIL), F.col("day"),
-                    F.when(F.col("status").isNull(), "date falls in no declared period")
-                    .when(closed, "restates a closed period")
-                    .otherwise(F.concat(F.lit("restates a period that is "), "status")), F.col("n")), periods))
-    return _all(*found)
+        flags["has_periods"] = periods
+        sides.append(days.select(F.lit("day").alias("part"), F.col("day").cast("string").alias("key"), "status"))
+    counted = _each(made, *entries).groupBy("part", "key").agg(F.sum("n").alias("n"))
+    if not sides:
+        counted = counted.withColumn("status", F.lit(None).cast("string"))
+    met = _keyed(["part", "key"], counted, *sides).where("n IS NOT NULL")
+    for name, authority in flags.items():
+        met = met.crossJoin(F.broadcast(authority.limit(1).agg((rows() > 0).alias(name))))
+    part, closed = F.col("part"), F.coalesce(F.lower("status") == "closed", F.lit(False))
+    unnamed = _found(CORRECTION_CHECK, WARN, F.lit("corrections without an invoice"), "cut-off discipline is not evaluable", F.col("n"))
+    silent = _found(CORRECTION_CHECK, FAIL, F.col("key"), "no line on this invoice names what is corrected", F.col("n"))
+    judged = _found(
+        CORRECTION_CHECK, F.when(closed, INFO).otherwise(FAIL), F.col("key"),
+        F.when(F.col("status").isNull(), "date falls in no declared period").when(closed, "restates a closed period")
+        .otherwise(F.concat(F.lit("restates a period that is "), "status")), F.col("n"))
+    found = [F.when(part == "none", unnamed)]
+    if invoices is not None:
+        found.append(F.when((part == "invoice") & F.col("has_invoices") & F.col("status").isNull(), silent))
+    if periods is not None:
+        found.append(F.when((part == "day") & F.col("has_periods"), judged))
+    return _each(met, *found)
 
 
 # ---- eligibility ------------------------------------------------------------

@@ -72,7 +72,7 @@ def scope_bridge(bill: DataFrame, span: Span) -> DataFrame:
     """Usage rows in exactly one of the two scopes: the bill's or consumption's."""
     on_bill, consumed = span.on_date("BillingPeriodStart"), span.on("ChargePeriodStart")
     return (
-        bill.where(usage() & (on_bill != consumed))
+        bill.where(usage() & (on_bill | consumed) & (on_bill != consumed))
         .select(
             F.when(on_bill, "on the bill").otherwise("not on the bill").alias("bill_scope"),
             F.when(consumed, "consumed in window").otherwise("consumed outside window")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.columns import Span
 from ledgerloom.sources import bill_columns as rules
 
 
@@ -18,8 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bill(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The bill, holding only the requested columns (all of them by default)."""
+def bill(spark: SparkSession, sf_dir: str, *columns: str, billed_in: Span | None = None) -> DataFrame:
+    """The bill, holding only the requested columns (all of them by default).
+
+    billed_in bounds the scan for a question about that window: rows billed in it were charged in it or, as corrections
+    are billed a month late, in the month before.  It keeps every row of the window by either date, and others.
+    """
     columns = columns or tuple(rules.FULL_BILL)
     needed = rules.closure(columns)
     joined_tables = rules.tables_for(columns)
@@ -30,6 +35,9 @@ def bill(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         return table(spark, sf_dir, name).select(*keep)
 
     rows = raw("lineitem")
+    if billed_in is not None:
+        rows = rows.where((F.col("l_shipdate") >= F.add_months(F.lit(billed_in.start).cast("date"), -1).cast("timestamp_ntz"))
+                          & (F.col("l_shipdate") < F.lit(billed_in.end).cast("timestamp_ntz")))
     if "customer" in joined_tables:
         # Resolve the small geography first so the fact side is joined once to orders.
         buyer = raw("customer")
@@ -68,23 +76,20 @@ def invoice_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.sum("BilledCost").alias("BilledCost"))
     )
     off_by_a_cent = F.col("BillingPeriodStart") == F.lit("2000-01-01").cast("date")
-    return lines.select(
-        *INVOICE_KEYS,
-        (F.col("BilledCost") + F.when(off_by_a_cent, F.lit("0.01").cast("decimal(4,2)"))
-         .otherwise(F.lit("0.00").cast("decimal(4,2)"))).cast("decimal(28,4)").alias("BilledCost"),
-        F.lit("Issued").alias("InvoiceIssueStatus"),
-    ).unionByName(
-        # One invoice id nothing on the bill cites, priced from the real lines.
-        lines.where("BillingPeriodStart = DATE'2000-02-01'").groupBy("BillingCurrency")
-        .agg(F.sum("BilledCost").cast("decimal(28,4)").alias("BilledCost"))
-        .select(
-            F.concat(F.lit("GHOST-"), "BillingCurrency").alias("InvoiceId"),
-            F.concat(F.lit("GHOST-"), "BillingCurrency").alias("ReferenceInvoiceId"),
-            "BillingCurrency", F.lit("Usage").alias("ChargeCategory"),
-            F.lit(None).cast("string").alias("ChargeClass"),
-            F.lit("2000-02-01").cast("date").alias("BillingPeriodStart"),
-            F.lit("2000-03-01").cast("date").alias("BillingPeriodEnd"),
-            "BilledCost", F.lit("Issued").alias("InvoiceIssueStatus"))
+    cents = F.when(off_by_a_cent, F.lit("0.01").cast("decimal(4,2)")).otherwise(F.lit("0.00").cast("decimal(4,2)"))
+    amount = (F.col("BilledCost") + cents).cast("decimal(28,4)")
+    real = F.struct(*INVOICE_KEYS, amount.alias("BilledCost"))
+    # One invoice id nothing on the bill cites, priced from the real lines of its month.
+    ghost_id = F.concat(F.lit("GHOST-"), "BillingCurrency")
+    ghost = F.struct(
+        ghost_id.alias("InvoiceId"), ghost_id.alias("ReferenceInvoiceId"), "BillingCurrency", F.lit("Usage").alias("ChargeCategory"),
+        F.lit(None).cast("string").alias("ChargeClass"), F.lit("2000-02-01").cast("date").alias("BillingPeriodStart"),
+        F.lit("2000-03-01").cast("date").alias("BillingPeriodEnd"), amount.alias("BilledCost"))
+    both = F.array(real, F.when(F.col("BillingPeriodStart") == F.lit("2000-02-01").cast("date"), ghost))
+    return (
+        lines.select(F.explode(F.filter(both, lambda line: line.isNotNull())).alias("line")).select("line.*")
+        .groupBy(*INVOICE_KEYS).agg(F.sum("BilledCost").cast("decimal(28,4)").alias("BilledCost"))
+        .select(*INVOICE_KEYS, "BilledCost", F.lit("Issued").alias("InvoiceIssueStatus"))
     )
 
 

@@ -161,6 +161,9 @@ def test_missing_authority_is_not_a_pass(spark, bill):
     assert findings(X.billing_periods(bill, nothing)) == []
     assert findings(X.correction_rules(bill, None, nothing)) == []
     assert findings(X.invoice_orphan(bill, fx.invoices(spark).limit(0))) == []
+    assert findings(X.invoice_reconciliation(bill, fx.invoices(spark).limit(0))) == []
+    assert findings(X.commitment_term_closure(bill, fx.contracts(spark).limit(0))) == []
+    assert findings(X.correction_rules(bill, fx.invoices(spark).limit(0), None)) == []
 
 
 def test_overlapping_periods(spark):

@@ -39,6 +39,19 @@ def test_date_window_reaches_the_scan(spark):
     assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in text
 
 
+@pytest.mark.parametrize("name", ["reconciling_items", "completeness_tie_out", "scope_bridge", "out_of_scope_panel"])
+def test_billing_window_reaches_the_scan(spark, name):
+    filters = re.findall(r"PushedFilters: (.*l_shipdate.*)", plan(JOBS[name](spark, SF)))
+    assert filters and all("GreaterThanOrEqual(l_shipdate,1999-06-01" in f and "LessThan(l_shipdate,1999-08-01" in f for f in filters)
+
+
+@pytest.mark.parametrize("name, scans", [("xds_invoice", 2), ("xds_closure", 3), ("xds_correction", 5)])
+def test_cross_checks_read_the_bill_once(spark, name, scans):
+    """One scan of the bill; the others are companions, which the adapter derives from the same table, and their probes."""
+    text = plan(JOBS[name](spark, SF))
+    assert len(re.findall(r"Location: .*lineitem", text)) <= scans
+
+
 def test_only_needed_tables_and_columns_are_read(spark):
     text = plan(JOBS["granularity"](spark, SF))
     assert text.count("ReadSchema:") == 1
