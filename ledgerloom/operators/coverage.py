@@ -70,7 +70,7 @@ def eligibility_universe(bill: DataFrame) -> DataFrame:
 @reads("CommitmentDiscountId", "BillingCurrency", "ChargeCategory", "EffectiveCost", "BilledCost",
        "ChargePeriodStart")
 def term_closure(bill: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Amortised, purchased and contracted amounts; the first matching verdict stands."""
+    """Amortised, purchased and contracted amounts of a currency; the first matching verdict stands."""
     category, day = F.col("ChargeCategory"), charge_day()
     spent = (
         bill.where(F.col("CommitmentDiscountId").isNotNull()).groupBy("CommitmentDiscountId", "BillingCurrency")
@@ -78,7 +78,7 @@ def term_closure(bill: DataFrame, contracts: DataFrame) -> DataFrame:
              total("EffectiveCost", category == "Usage").alias("amortised"), F.max(day).alias("last_seen"))
     )
     terms = contracts.select(
-        F.col("ContractCommitmentId").alias("CommitmentDiscountId"), F.lit(True).alias("known"),
+        F.col("ContractCommitmentId").alias("CommitmentDiscountId"), "BillingCurrency", F.lit(True).alias("known"),
         F.col("ContractCommitmentCost").cast("decimal(28,4)").alias("contracted"),
         civil("ContractCommitmentPeriodStart").alias("term_start"),
         civil("ContractCommitmentPeriodEnd").alias("term_end"))
@@ -86,7 +86,7 @@ def term_closure(bill: DataFrame, contracts: DataFrame) -> DataFrame:
     amortised_gap = F.abs(F.coalesce("amortised", zero) - F.col("contracted"))
     purchased_gap = F.abs(F.coalesce("purchased", zero) - F.col("contracted"))
     return (
-        spent.join(terms, "CommitmentDiscountId", "left")
+        spent.join(terms, ["CommitmentDiscountId", "BillingCurrency"], "left")
         .select("CommitmentDiscountId", "BillingCurrency", display(F.col("purchased")).alias("purchase_billed"),
                 display(F.col("amortised")).alias("amortised_effective"),
                 display(F.col("contracted")).alias("contract_cost"), "term_start", "term_end",

@@ -133,22 +133,23 @@ def invoice_orphan(bill: DataFrame, invoices: DataFrame) -> DataFrame:
 CLOSURE_CHECK = "XDS-commitment-closure"
 
 
-@reads("CommitmentDiscountId", "ChargeCategory", "EffectiveCost", "BilledCost", "ChargePeriodStart",
-       "ChargePeriodEnd")
+@reads("CommitmentDiscountId", "BillingCurrency", "ChargeCategory", "EffectiveCost", "BilledCost",
+       "ChargePeriodStart", "ChargePeriodEnd")
 def commitment_term_closure(bill: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Closure asserted only where the bill spans the contract's whole term."""
+    """Closure of a commitment in a currency, asserted only where the bill spans the contract's whole term."""
     zero = F.lit(0)
-    spent = bill.where(F.col("CommitmentDiscountId") != "").groupBy("CommitmentDiscountId").agg(
+    keys = ["CommitmentDiscountId", "BillingCurrency"]
+    spent = bill.where(F.col("CommitmentDiscountId") != "").groupBy(*keys).agg(
         F.coalesce(total("EffectiveCost", usage()), zero).alias("used"),
         F.coalesce(total("BilledCost", F.col("ChargeCategory") == "Purchase"), zero).alias("bought"),
         F.min(F.when(usage(), F.col("ChargePeriodStart"))).alias("seen_from"),
         F.max(F.when(usage(), F.col("ChargePeriodEnd"))).alias("seen_to"))
     terms = contracts.select(
-        F.col("ContractCommitmentId").alias("CommitmentDiscountId"), F.lit(True).alias("known"),
+        F.col("ContractCommitmentId").alias("CommitmentDiscountId"), "BillingCurrency", F.lit(True).alias("known"),
         F.col("ContractCommitmentCost").cast("decimal(28,4)").alias("contracted"),
         civil("ContractCommitmentPeriodStart").cast("timestamp_ntz").alias("opens"),
         civil("ContractCommitmentPeriodEnd").cast("timestamp_ntz").alias("closes"))
-    joined = spent.join(terms, "CommitmentDiscountId", "left")
+    joined = spent.join(terms, keys, "left")
     seconds = F.timestamp_diff("SECOND", F.greatest("seen_from", "opens"), F.least("seen_to", "closes"))
     # greatest/least skip nulls, so an unobserved commitment is removed first.
     observed = F.coalesce(F.col("known"), F.lit(False)) & F.col("seen_from").isNotNull() & F.col("seen_to").isNotNull()
@@ -161,11 +162,16 @@ def commitment_term_closure(bill: DataFrame, contracts: DataFrame) -> DataFrame:
         .otherwise("INFO|dataset covers part of the term; closure not evaluable"))
     parts = F.split("state", r"\|")
     named = F.col("CommitmentDiscountId")
-    judged = _found(CLOSURE_CHECK, parts[0], named, parts[1], F.when(~full & (seconds > 0), F.floor(seconds / 86400)),
+
+    def told(message: str | Column) -> Column:
+        said = F.lit(message) if isinstance(message, str) else message
+        return F.concat(said, F.lit(" ["), F.coalesce("BillingCurrency", F.lit("unknown")), F.lit("]"))
+
+    judged = _found(CLOSURE_CHECK, parts[0], named, told(parts[1]), F.when(~full & (seconds > 0), F.floor(seconds / 86400)),
                     F.col("used"), F.col("bought"))
-    unknown = _found(CLOSURE_CHECK, INFO, named, "no contract record; term unknown", None, F.col("used"))
+    unknown = _found(CLOSURE_CHECK, INFO, named, told("no contract record; term unknown"), None, F.col("used"))
     dear = F.abs(F.col("bought") - F.col("contracted")) > _tolerance()
-    disagree = _found(CLOSURE_CHECK, FAIL, named, "purchases disagree with the contract cost", None, F.col("bought"), F.col("contracted"))
+    disagree = _found(CLOSURE_CHECK, FAIL, named, told("purchases disagree with the contract cost"), None, F.col("bought"), F.col("contracted"))
     found = _each(joined.withColumn("state", state), F.when(observed, judged), F.when(F.col("known").isNull(), unknown),
                   F.when(observed & full & (F.col("bought") != 0) & dear, disagree))
     return _only_if_any(found, contracts)

@@ -69,23 +69,23 @@ def derive_invoice_detail(bill: DataFrame) -> DataFrame:
 def amortise_commitment(contracts: DataFrame, hours_per_day: int = 24, full_days: int = 10,
                         partial_hours: int = 18, committed_rate: str = "0.10",
                         on_demand_rate: str = "0.15") -> DataFrame:
-    """A commitment as one purchase plus a Used (and Unused) row per day of its term."""
+    """A commitment in a currency as one purchase plus a Used (and Unused) row per day of its term."""
     committed = F.lit(committed_rate).cast("decimal(9,4)")
     on_demand = F.lit(on_demand_rate).cast("decimal(9,4)")
     term = contracts.select(
-        F.col("ContractCommitmentId").alias("CommitmentDiscountId"),
+        F.col("ContractCommitmentId").alias("CommitmentDiscountId"), "BillingCurrency",
         F.col("ContractCommitmentPeriodStart").cast("date").alias("opens"),
         F.col("ContractCommitmentPeriodEnd").cast("date").alias("closes"))
     daily = (
-        term.select("CommitmentDiscountId",
+        term.select("CommitmentDiscountId", "BillingCurrency",
                     F.posexplode(F.sequence("opens", F.date_sub("closes", 1))).alias("n", "day"))
         .withColumn("used", F.when(F.col("n") < full_days, hours_per_day).otherwise(partial_hours))
-        .select("CommitmentDiscountId", "day", F.explode(F.array(
+        .select("CommitmentDiscountId", "BillingCurrency", "day", F.explode(F.array(
             F.struct(F.lit("Used").alias("status"), F.col("used").alias("hours")),
             F.struct(F.lit("Unused").alias("status"), (F.lit(hours_per_day) - F.col("used")).alias("hours"))))
             .alias("s"))
-        .select("CommitmentDiscountId", "day", "s.*").where("hours > 0")
-        .select("CommitmentDiscountId", F.col("day").alias("ChargeDay"), F.lit("Usage").alias("ChargeCategory"),
+        .select("CommitmentDiscountId", "BillingCurrency", "day", "s.*").where("hours > 0")
+        .select("CommitmentDiscountId", "BillingCurrency", F.col("day").alias("ChargeDay"), F.lit("Usage").alias("ChargeCategory"),
                 F.col("status").alias("CommitmentDiscountStatus"), F.col("hours").cast("long").alias("hours"),
                 (F.col("hours") * F.when(F.col("status") == "Used", on_demand).otherwise(committed))
                 .cast("decimal(28,4)").alias("ListCost"),
@@ -95,7 +95,7 @@ def amortise_commitment(contracts: DataFrame, hours_per_day: int = 24, full_days
     hours = (F.datediff("closes", "opens") * hours_per_day).cast("long")
     paid = (hours * committed).cast("decimal(28,4)")
     purchase = term.select(
-        "CommitmentDiscountId", F.col("opens").alias("ChargeDay"), F.lit("Purchase").alias("ChargeCategory"),
+        "CommitmentDiscountId", "BillingCurrency", F.col("opens").alias("ChargeDay"), F.lit("Purchase").alias("ChargeCategory"),
         F.lit(None).cast("string").alias("CommitmentDiscountStatus"), hours.alias("hours"),
         paid.alias("ListCost"), F.lit(0).cast("decimal(28,4)").alias("EffectiveCost"),
         paid.alias("BilledCost"))

@@ -55,13 +55,13 @@ contract AS (
          'term of ' || CommitmentDiscountId AS ContractCommitmentDescription,
          CAST(coalesce(sum(BilledCost) FILTER (WHERE ChargeCategory = 'Purchase'), 0) AS DECIMAL(28,4))
            AS ContractCommitmentCost,
-         'USD' AS BillingCurrency,
+         BillingCurrency,
          CASE WHEN regexp_matches(CommitmentDiscountId, '[369]0$') THEN DATE '1994-01-01'
               ELSE DATE '1999-01-01' END AS ContractCommitmentPeriodStart,
          CASE WHEN regexp_matches(CommitmentDiscountId, '[369]0$') THEN DATE '2003-01-01'
               WHEN regexp_matches(CommitmentDiscountId, '[5]0$') THEN DATE '1999-01-08'
               ELSE DATE '2000-01-01' END AS ContractCommitmentPeriodEnd
-  FROM bill WHERE CommitmentDiscountId LIKE '%0' GROUP BY CommitmentDiscountId)"""
+  FROM bill WHERE CommitmentDiscountId LIKE '%0' GROUP BY CommitmentDiscountId, BillingCurrency)"""
 
 
 EVERY_CONTRACT = CONTRACTS.replace("LIKE '%0' GROUP", "IS NOT NULL GROUP")

@@ -324,7 +324,7 @@ def commitment_utilisation(bill: DataFrame, contracts: DataFrame) -> DataFrame:
              F.count_distinct(day).alias("days_observed"))
     )
     terms = contracts.select(
-        F.col("ContractCommitmentId").alias("CommitmentDiscountId"),
+        F.col("ContractCommitmentId").alias("CommitmentDiscountId"), "BillingCurrency",
         F.col("ContractCommitmentDescription").alias("description"),
         F.col("ContractCommitmentCost").alias("contract_cost"),
         F.col("ContractCommitmentPeriodStart").cast("date").alias("term_start"),
@@ -334,7 +334,7 @@ def commitment_utilisation(bill: DataFrame, contracts: DataFrame) -> DataFrame:
     short = F.replace(F.lit(labels.USE_SHORT), F.lit("{observed}"), F.col("days_observed").cast("string"))
     short = F.replace(short, F.lit("{term}"), F.col("term_days").cast("string"))
     return (
-        observed.join(terms, "CommitmentDiscountId", "left")
+        observed.join(terms, ["CommitmentDiscountId", "BillingCurrency"], "left")
         .withColumn("term_days", F.datediff("term_end", "term_start"))
         .orderBy(F.asc_nulls_last("term_start"))
         .select(F.regexp_extract("CommitmentDiscountId", "[^/]+$", 0).alias("commitment"), "description",

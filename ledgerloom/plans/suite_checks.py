@@ -424,7 +424,7 @@ ORACLE = {
         FROM (SELECT InvoiceId, BillingCurrency FROM invoice INTERSECT SELECT InvoiceId, BillingCurrency FROM bill)
         HAVING count(*) > 0""", INVOICES),
     "xds_closure": _finding_sql("""
-        SELECT 'XDS-commitment-closure', severity, tail, finding, days, used, bought FROM (
+        SELECT 'XDS-commitment-closure', severity, tail, finding || currency, days, used, bought FROM (
           SELECT *, CASE WHEN id IS NULL THEN 'INFO' WHEN whole THEN CASE WHEN abs(used - bought) > 0.000001 THEN 'FAIL' ELSE 'INFO' END
                     WHEN secs <= 0 THEN 'WARN' ELSE 'INFO' END AS severity,
                  CASE WHEN whole THEN CASE WHEN abs(used - bought) > 0.000001
@@ -434,21 +434,21 @@ ORACLE = {
                  CASE WHEN NOT whole AND secs > 0 THEN secs // 86400 END AS days
           FROM term WHERE id IS NOT NULL AND seen_from IS NOT NULL)
         UNION ALL
-        SELECT 'XDS-commitment-closure', 'INFO', tail, 'no contract record; term unknown', NULL, used, NULL FROM term WHERE id IS NULL
+        SELECT 'XDS-commitment-closure', 'INFO', tail, 'no contract record; term unknown' || currency, NULL, used, NULL FROM term WHERE id IS NULL
         UNION ALL
-        SELECT 'XDS-commitment-closure', 'FAIL', tail, 'purchases disagree with the contract cost', NULL, bought, contracted
+        SELECT 'XDS-commitment-closure', 'FAIL', tail, 'purchases disagree with the contract cost' || currency, NULL, bought, contracted
         FROM term WHERE whole AND bought <> 0 AND abs(bought - contracted) > 0.000001""", CONTRACTS + """,
 term AS (
-  SELECT u.*, u.CommitmentDiscountId AS tail, c.ContractCommitmentId AS id, c.ContractCommitmentCost AS contracted,
+  SELECT u.*, u.CommitmentDiscountId AS tail, ' [' || coalesce(u.BillingCurrency, 'unknown') || ']' AS currency, c.ContractCommitmentId AS id, c.ContractCommitmentCost AS contracted,
          seen_from <= c.ContractCommitmentPeriodStart AND seen_to >= c.ContractCommitmentPeriodEnd AS whole,
          date_diff('second', greatest(seen_from, CAST(c.ContractCommitmentPeriodStart AS TIMESTAMP)),
                    least(seen_to, CAST(c.ContractCommitmentPeriodEnd AS TIMESTAMP))) AS secs
-  FROM (SELECT CommitmentDiscountId, sum(CASE WHEN ChargeCategory = 'Usage' THEN EffectiveCost ELSE 0 END) AS used,
+  FROM (SELECT CommitmentDiscountId, BillingCurrency, sum(CASE WHEN ChargeCategory = 'Usage' THEN EffectiveCost ELSE 0 END) AS used,
                sum(CASE WHEN ChargeCategory = 'Purchase' THEN BilledCost ELSE 0 END) AS bought,
                min(ChargePeriodStart) FILTER (WHERE ChargeCategory = 'Usage') AS seen_from,
                max(ChargePeriodEnd) FILTER (WHERE ChargeCategory = 'Usage') AS seen_to
         FROM bill WHERE CommitmentDiscountId IS NOT NULL GROUP BY ALL) u
-  LEFT JOIN contract c ON u.CommitmentDiscountId = c.ContractCommitmentId)"""),
+  LEFT JOIN contract c ON u.CommitmentDiscountId = c.ContractCommitmentId AND u.BillingCurrency = c.BillingCurrency)"""),
     "xds_billing_period": _finding_sql("""
         SELECT 'XDS-billing-period', 'FAIL', s || '..' || e, 'overlaps ' || s2 || '..' || e2, NULL, NULL, NULL FROM (
           SELECT lag(BillingPeriodStart) OVER w AS s, lag(BillingPeriodEnd) OVER w AS e, BillingPeriodStart AS s2, BillingPeriodEnd AS e2

@@ -249,18 +249,18 @@ ORACLE = {
                            CASE WHEN min(BillingAccountId) = max(BillingAccountId) THEN min(BillingAccountId) END AS BillingAccountId
                     FROM bill WHERE InvoiceId <> '' GROUP BY ALL))"""),
     "amortise_commitment": over_bill("""
-        SELECT ContractCommitmentId AS CommitmentDiscountId, ContractCommitmentPeriodStart AS ChargeDay,
+        SELECT ContractCommitmentId AS CommitmentDiscountId, BillingCurrency, ContractCommitmentPeriodStart AS ChargeDay,
                'Purchase' AS ChargeCategory, NULL AS CommitmentDiscountStatus,
                CAST(24 * date_diff('day', ContractCommitmentPeriodStart, ContractCommitmentPeriodEnd) AS BIGINT) AS hours,
                CAST(2.40 * date_diff('day', ContractCommitmentPeriodStart, ContractCommitmentPeriodEnd) AS DOUBLE) AS ListCost,
                CAST(0 AS DOUBLE) AS EffectiveCost,
                CAST(2.40 * date_diff('day', ContractCommitmentPeriodStart, ContractCommitmentPeriodEnd) AS DOUBLE) AS BilledCost
         FROM contract UNION ALL
-        SELECT id, CAST(start + n * INTERVAL 1 DAY AS DATE), 'Usage', status, CAST(hours AS BIGINT),
+        SELECT id, BillingCurrency, CAST(start + n * INTERVAL 1 DAY AS DATE), 'Usage', status, CAST(hours AS BIGINT),
                CAST(hours * CASE status WHEN 'Used' THEN 0.15 ELSE 0.10 END AS DOUBLE), CAST(hours * 0.10 AS DOUBLE), 0
-        FROM (SELECT id, start, n, status, CASE WHEN status = 'Used' THEN CASE WHEN n < 10 THEN 24 ELSE 18 END
+        FROM (SELECT id, BillingCurrency, start, n, status, CASE WHEN status = 'Used' THEN CASE WHEN n < 10 THEN 24 ELSE 18 END
                      ELSE CASE WHEN n < 10 THEN 0 ELSE 6 END END AS hours
-              FROM (SELECT ContractCommitmentId AS id, ContractCommitmentPeriodStart AS start,
+              FROM (SELECT ContractCommitmentId AS id, BillingCurrency, ContractCommitmentPeriodStart AS start,
                            unnest(range(date_diff('day', ContractCommitmentPeriodStart, ContractCommitmentPeriodEnd))) AS n
                     FROM contract), (VALUES ('Used'), ('Unused')) s(status)) WHERE hours > 0""", EVERY_CONTRACT),
     "gap_explained": over_bill(f"""

@@ -113,11 +113,11 @@ def billing_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contract_commitment(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    """A contract for half of the commitments, so that some have none, or for all: one term year, cost as purchased."""
+    """A contract for half of the commitments, so that some have none, or for all: cost as purchased, by currency."""
     return (
         bill(spark, sf_dir, "CommitmentDiscountId", "BillingCurrency", "ChargeCategory", "BilledCost")
         .where("CommitmentDiscountId IS NOT NULL" if every else "CommitmentDiscountId LIKE '%0'")
-        .groupBy(F.col("CommitmentDiscountId").alias("ContractCommitmentId"))
+        .groupBy(F.col("CommitmentDiscountId").alias("ContractCommitmentId"), "BillingCurrency")
         .agg(F.sum(F.when(F.col("ChargeCategory") == "Purchase", F.col("BilledCost")))
              .alias("ContractCommitmentCost"))
         .select(
@@ -125,7 +125,7 @@ def contract_commitment(spark: SparkSession, sf_dir: str, every: bool = False) -
             F.concat(F.lit("term of "), "ContractCommitmentId").alias("ContractCommitmentDescription"),
             F.coalesce("ContractCommitmentCost", F.lit(0)).cast("decimal(28,4)")
             .alias("ContractCommitmentCost"),
-            F.lit("USD").alias("BillingCurrency"),
+            "BillingCurrency",
             # Longer terms for every third commitment, so no verdict is unpopulated.
             F.when(F.col("ContractCommitmentId").rlike("[369]0$"), F.lit("1994-01-01"))
             .otherwise(F.lit("1999-01-01")).cast("date").alias("ContractCommitmentPeriodStart"),

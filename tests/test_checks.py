@@ -130,6 +130,20 @@ def test_clean_cross_run(spark, bill):
     assert "holds" in next(f[2] for f in closure if f[1].endswith("1yr-001"))
 
 
+def test_closure_never_adds_currencies(spark, bill):
+    """The same commitment once more in another currency, at ten times the cost and with a contract of its own."""
+    tenfold = {c: (F.col(c) * 10).cast(bill.schema[c].dataType) for c in ("EffectiveCost", "BilledCost")}
+    other = bill.where("CommitmentDiscountId LIKE '%1yr-001'").withColumns(tenfold | {"BillingCurrency": F.lit("GBP")})
+    agreed = fx.contracts(spark)
+    dear = agreed.where("ContractCommitmentId LIKE '%1yr-001'").withColumns({
+        "BillingCurrency": F.lit("GBP"), "ContractCommitmentCost": (F.col("ContractCommitmentCost") * 10).cast("decimal(18,2)")})
+    closure = [f for f in findings(X.commitment_term_closure(bill.unionByName(other), agreed.unionByName(dear))) if f[1].endswith("1yr-001")]
+    assert sorted(f[2] for f in closure) == [f"term fully covered and closure holds [{c}]" for c in ("GBP", "USD")]
+    # A contract in one currency says nothing of the other.
+    alone = [f for f in findings(X.commitment_term_closure(bill.unionByName(other), agreed)) if f[1].endswith("1yr-001")]
+    assert sorted(f[2] for f in alone) == ["no contract record; term unknown [GBP]", "term fully covered and closure holds [USD]"]
+
+
 def test_ghost_invoice(spark, bill):
     ghost = bill.withColumn("InvoiceId", F.when(F.col("InvoiceId").isNotNull(), F.lit("INV-GHOST")))
     severity, subject, _, count = findings(X.invoice_orphan(ghost, fx.invoices(spark)))[0]
