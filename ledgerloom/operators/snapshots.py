@@ -180,6 +180,29 @@ def duplicate_citations(citations: DataFrame) -> DataFrame:
     )
 
 
+def uncited_checks(checks: DataFrame, citations: DataFrame) -> DataFrame:
+    """Checks that cite no sentence, or a blank one only, which a registry does not admit; and how many columns each reads."""
+    cited = citations.where(F.trim("text") != "").select("check_id").distinct()
+    return checks.groupBy("check_id").agg(F.count_distinct("column_id").alias("columns_read")).join(cited, "check_id", "left_anti")
+
+
+#: Fixed value: the wording that makes a sentence a null rule.
+NULL_RULE = r"\b(MUST|SHOULD) (NOT )?be null\b"
+
+
+def stated_null_rules(rules: DataFrame, citations: DataFrame, tag: str) -> DataFrame:
+    """Every null rule a snapshot states, once a column, and whether a check cites it in the same normalised words."""
+    stated = (
+        rules.where(F.col("tag") == tag).select("column_id", F.explode("requirements").alias("text"))
+        .select("column_id", normalise_requirement(F.col("text")).alias("sentence"))
+        .where(F.col("sentence").rlike(NULL_RULE)).distinct()
+    )
+    cited = citations.select("column_id", normalise_requirement(F.col("text")).alias("sentence"),
+                             F.lit(True).alias("implemented")).distinct()
+    return stated.join(cited, ["column_id", "sentence"], "left").withColumn(
+        "implemented", F.coalesce("implemented", F.lit(False)))
+
+
 def service_pairs(bill: DataFrame, pairs: dict[str, list[str]]) -> DataFrame:
     """The (category, subcategory) pairs in use, marked as permitted or not."""
     listed = [f"{c}|{s}" for c, subs in pairs.items() for s in subs]

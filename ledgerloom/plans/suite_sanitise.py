@@ -87,6 +87,9 @@ QUERIES = {
     "upgrade_impact": lambda spark, sf: S.upgrade_impact(
         R.checks(spark, sf), R.citations(spark, sf), R.rule_table(spark, sf), R.BEFORE, R.AFTER),
     "duplicate_citations": lambda spark, sf: S.duplicate_citations(R.citations(spark, sf)),
+    "uncited_checks": lambda spark, sf: S.uncited_checks(R.checks(spark, sf), R.citations(spark, sf)),
+    "stated_rule_coverage": lambda spark, sf: S.rule_coverage(
+        S.stated_null_rules(R.rule_table(spark, sf), R.citations(spark, sf), R.AFTER)),
     "lifecycle_crosscheck": _crosscheck,
     "export_schema_diff": _export_diff,
     "service_pairs": lambda spark, sf: S.service_pairs(
@@ -249,6 +252,16 @@ ORACLE = {
         SELECT dataset, sentence, count(DISTINCT check_id) AS checks, min(check_id) AS first_check
         FROM (SELECT dataset, check_id, {_normal('text')} AS sentence FROM cited) GROUP BY dataset, sentence
         HAVING count(DISTINCT check_id) > 1""", _CITED),
+    "uncited_checks": _over_rules("""
+        SELECT check_id, count(DISTINCT n) AS columns_read
+        FROM (SELECT 'chk_' || p_partkey AS check_id, unnest([p_partkey, p_partkey + 1]) AS n FROM part)
+        WHERE check_id NOT IN (SELECT check_id FROM cited) GROUP BY check_id""", _CITED),
+    "stated_rule_coverage": _over_rules(f"""
+        SELECT column_id, count(*) AS stated, count(said) AS implemented, count(*) - count(said) AS refused
+        FROM (SELECT DISTINCT column_id, {_normal('s')} AS sentence
+              FROM (SELECT column_id, unnest(requirements) AS s FROM rules WHERE tag = '{R.AFTER}'))
+        LEFT JOIN (SELECT DISTINCT column_id, {_normal('text')} AS sentence, 1 AS said FROM cited) USING (column_id, sentence)
+        WHERE regexp_matches(sentence, '\\b(MUST|SHOULD) (NOT )?be null\\b') GROUP BY column_id""", _CITED),
     "lifecycle_crosscheck": _over_rules("""
         SELECT CASE WHEN f.column_id IS NULL THEN 'missing from tags' WHEN s.column_id IS NULL THEN 'not stated'
                     WHEN s.introduced = f.introduced THEN 'agree' ELSE 'mismatch' END AS outcome, count(*) AS columns

@@ -78,3 +78,18 @@ def test_lifecycle(spark, tmp_path):
     (tmp_path / "l.json").write_text(json.dumps({"introduced": {"A": "1.0", "B": "1.2"}, "removed": {"A": "1.4"}, "columns": {}}))
     assert {(r.column_id, r.introduced, r.removed) for r in read_lifecycle(spark, str(tmp_path / "l.json")).collect()} == {
         ("A", "1.0", "1.4"), ("B", "1.2", None)}
+
+
+def test_checks_without_a_citation_and_rules_without_a_check(spark):
+    checks = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("c", "x"), ("d", "y")], "check_id string, column_id string")
+    cited = spark.createDataFrame([("a", "x", "x  MUST NOT be null."), ("b", "x", "  "), ("c", "x", None)],
+                                  "check_id string, column_id string, text string")
+    assert sorted(map(tuple, S.uncited_checks(checks, cited).collect())) == [("b", 1), ("c", 1), ("d", 1)]
+    rules = spark.createDataFrame([
+        ("v2", "x", ["x MUST NOT be null", "x MUST NOT be null.", "x SHOULD be null when [y](#y) is null", "x MAY be null"]),
+        ("v2", "y", ["y MUST be text"]), ("v2", "z", None), ("v1", "y", ["y MUST be null"])],
+        "tag string, column_id string, requirements array<string>")
+    stated = S.stated_null_rules(rules, cited, "v2")
+    assert sorted(map(tuple, stated.collect())) == [("x", "x MUST NOT be null", True), ("x", "x SHOULD be null when y is null", False)]
+    assert [tuple(r) for r in S.rule_coverage(stated).collect()] == [("x", 2, 1, 1)]
+    assert S.uncited_checks(checks, cited.limit(0)).count() == 4
