@@ -221,3 +221,15 @@ def test_price_times_quantity_is_exact(spark):
     frame = spark.createDataFrame([(*map(Decimal, r[:3]), r[3]) for r in rows],
                                   "p decimal(38,18), q decimal(38,18), c decimal(38,18), off boolean")
     assert all(r.off == r.found for r in frame.withColumn("found", _product_is_off("p", "q", "c")).collect())
+
+
+def test_rows_clear_of_the_tolerance_never_reach_the_wide_product(spark):
+    """10^25 does not fit the exact form's 38 digits, so a row that reached it would end the job."""
+    from decimal import Decimal
+
+    rows = [("1" + "0" * 25, "2", "3", True), ("2", "3", "6.000001", False),
+            ("2", "3", "6.0000010000000001", True), ("2", None, "6", None)]
+    frame = spark.createDataFrame([(*(v and Decimal(v) for v in r[:3]), r[3]) for r in rows],
+                                  "p decimal(38,10), q decimal(38,10), c decimal(38,16), off boolean")
+    found = frame.withColumn("found", K._product_is_off("p", "q", "c")).collect()
+    assert [r.found for r in found] == [r.off for r in found]
