@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.columns import apart
 from ledgerloom.functions.joins import by_civil_day, lookup_join
 from ledgerloom.functions.median import exact_median
 from ledgerloom.functions.substrings import containing
@@ -167,3 +168,12 @@ def test_fingerprint_ignores_order_and_partitions(spark):
 def test_exact_median_rounds_nothing(spark, amounts, middle):
     frame = spark.createDataFrame([("k", Decimal(a)) for a in amounts], "k string, v decimal(38,18)")
     assert exact_median(frame, ["k"], "v", "m").first()["m"] == middle
+
+
+def test_apart_gives_the_same_rows_and_schema(spark):
+    frame = spark.sql("SELECT * FROM VALUES (1, 'a'), (2, NULL), (NULL, '') AS t(n, s)")
+    made = {"n": F.col("n"), "more": F.concat("s", F.lit("!")), "fixed": F.lit("x"), "null": F.lit(None).cast("string")}
+    plain = frame.select(*[c.alias(name) for name, c in made.items()])
+    for through in (None, ["more"], ["fixed"]):
+        found = apart(frame, made, through)
+        assert found.schema == plain.schema and sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))

@@ -59,3 +59,27 @@ def test_only_needed_tables_and_columns_are_read(spark):
     assert "l_extendedprice" not in schema_line and "l_shipdate" in schema_line
     text = plan(JOBS["allocatable_split"](spark, SF))
     assert "part.parquet" not in text
+
+
+@pytest.mark.parametrize("name", ["scan_bill", "empty_to_null"])
+def test_wide_projections_are_compiled(no_broadcast, name):
+    """The JVM compiles no method of more than 8000 bytes; the passes of a wide bill in one method had 21381."""
+    spark, adaptive = no_broadcast, no_broadcast.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = JOBS[name](spark, SF)._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_late_passes_hold_every_column_after_what_it_is_made_of():
+    from ledgerloom.sources import bill_columns as rules
+
+    done = set(rules.TABLE_OF)
+    for step in rules.late_levels(rules.FULL_BILL):
+        assert all(set(rules.DEPENDS[c]) <= done for c in step)
+        done.update(step)
+    assert set(rules.FULL_BILL) <= done
