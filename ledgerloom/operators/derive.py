@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import schema
-from ledgerloom.functions.columns import apart, count_where, display, reads, rows, total, usage
+from ledgerloom.functions.columns import count_where, display, kept_apart, reads, rows, total, usage
 from ledgerloom.functions.numbering import numbered
 from ledgerloom.functions.profile import counts_by_column
 
@@ -225,10 +225,11 @@ def content_fingerprint(frame: DataFrame, by: list[str]) -> DataFrame:
         value = F.col(name).cast("string")
         return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
 
-    digest = F.sha2(F.concat_ws(",", *[told(c) for c in sorted(frame.columns)]), 256)
+    parts = [told(c) for c in sorted(frame.columns)]
+    digest = F.sha2(F.concat_ws(",", *[kept_apart(part) for part in parts[:1]], *parts[1:]), 256)
     pieces = [F.conv(F.substring("_digest", at, size), 16, 10).cast("long").alias(f"_h{at}") for at, size in DIGEST_PIECES]
     return (
-        apart(frame, {**{c: F.col(c) for c in by}, "_digest": digest}, ["_digest"]).select(*by, *pieces).groupBy(*by).agg(
+        frame.select(*by, digest.alias("_digest")).select(*by, *pieces).groupBy(*by).agg(
             rows().alias("row_count"),
             F.concat_ws("-", *[F.bit_xor(f"_h{at}") for at, _ in DIGEST_PIECES]).alias("xor_of_rows"),
             F.concat_ws("-", *[F.sum(F.col(f"_h{at}").cast("decimal(20,0)")) for at, _ in DIGEST_PIECES]).alias("sum_of_rows"))
