@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.columns import count_where
 from ledgerloom.functions.profile import counts_by_column
 from ledgerloom.operators.normalise import normalise_requirement
 
@@ -75,7 +76,7 @@ def _condition(kind: str, column: str, what: str, allowed: list[str], columns: l
 def companion_findings(frame: DataFrame, rules: DataFrame, dataset: str, tag: str) -> DataFrame:
     """check_id, column_id, sentence, rows, violations and outcome (PASS, FAIL or NOT IMPLEMENTED), in one scan."""
     compiled = compile_rules(rules, dataset, tag, frame.columns)
-    judged = {c.check_id: F.count_if(F.coalesce(c.broken, F.lit(False))) for c in compiled if c.broken is not None}
+    judged = {c.check_id: count_where(c.broken) for c in compiled if c.broken is not None}
     spark = frame.sparkSession
     known = spark.createDataFrame([(c.check_id, c.column, c.sentence) for c in compiled], "check_id string, column_id string, sentence string")
     if not judged:
