@@ -177,3 +177,23 @@ def test_apart_gives_the_same_rows_and_schema(spark):
     for through in (None, ["more"], ["fixed"]):
         found = apart(frame, made, through)
         assert found.schema == plain.schema and sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_frame_replacement_is_that_of_single_values(spark):
+    guid, other, code = "0a1B2c3D-0000-4000-8000-00000000abcd", "11111111-2222-3333-4444-555555555555", "AB12-CD34-EF5-GH6"
+    texts = [None, "", "none", guid, f"x{guid}", f"{guid}{other}", f"{guid}-{guid[9:]}", f"/a/{guid}/b/{other}/c", f"é{guid}", f"😀 {guid} 😀 {code}",
+             code, f"X{code} {code}", f"{code}9 {code}", f"{code}-{code}", f"é{code}", f"{code} {guid} {code}", "a-long-value-without-any-identifier-in-it",
+             "aaaaaaaa-aaaa-aaaa-aaaa-aaaaaaaaaaaa-aaaa-aaaa-aaaa-aaaaaaaaaaaa"]
+    frame = spark.createDataFrame([(n, t, t) for n, t in enumerate(texts)], "n int, a string, b string")
+    for whole, single in ((sanitise.with_guids_replaced, sanitise.pseudonymise_guids), (sanitise.with_codes_replaced, sanitise.pseudonymise_codes)):
+        got = whole(frame, ["a"]).orderBy("n").collect()
+        assert got[0].asDict().keys() == {"n", "a", "b"} and [r["b"] for r in got] == texts
+        assert [r["a"] for r in got] == [r[0] for r in frame.orderBy("n").select(single(F.col("a"))).collect()]
+    assert whole(frame, ["b"]).where("b <> a").count() >= 5
+
+
+def test_one_identifier_is_replaced_without_a_lambda(spark):
+    """The lambda, and the expression compiled for each value, are left for values of several identifiers."""
+    frame = spark.createDataFrame([("/a/11111111-2222-3333-4444-555555555555",)], "a string")
+    plan = sanitise.with_guids_replaced(frame, ["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_instr" in plan and plan.index("regexp_instr") > plan.index("zip_with")
