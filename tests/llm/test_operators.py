@@ -8,6 +8,7 @@ from itertools import product
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +22,8 @@ from ledgerloom.llm.language import language_of_documents  # noqa: E402
 from ledgerloom.llm.mixing import mix, source_targets  # noqa: E402
 from ledgerloom.llm.multi_index import neighbours  # noqa: E402
 from ledgerloom.llm.near_dedup import near_duplicates  # noqa: E402
-from ledgerloom.llm.scoring import Spelling, prefix_code, score_documents, spelled_words, word_experts  # noqa: E402
+from ledgerloom.llm.scoring import (  # noqa: E402
+    Lexicon, Spelling, hashes_of, learned_online, leanings, prefix_code, score_documents, sign_chances, spelled_words, word_experts)
 from ledgerloom.llm.sentence_pieces import Pieces, decode, default_model, encode, segmented  # noqa: E402
 from ledgerloom.llm.sharding import cheapest_transfers, reshard, resharded_files, rewrite_affected  # noqa: E402
 
@@ -234,6 +236,34 @@ def test_mixed_contexts_alone_beat_an_order_1_spelling(spark, documents):
     assert [float((10 ** e).sum()) for e in classed] == pytest.approx([1, 1, 1])
 
 
+def test_words_are_scored_in_their_order(spark):
+    # Every training text counts up; the words alone cannot tell a text that does so from one that does not.
+    names = [f"w{k}" for k in range(12)]
+    train, held = ([i for i in range(900) if (zlib.crc32(str(i).encode()) % 5 == 1) == out] for out in (False, True))
+    rows = [(i, " ".join(names[(i + k) % 12] for k in range(8))) for i in train]
+    rows += [(held[0], " ".join(names[:8])), (held[1], " ".join(names[k] for k in (3, 0, 6, 1, 7, 4, 2, 5)))]
+    got = {r.doc_id: r for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string"), table_bits=16).collect()}
+    up, mixed = got[held[0]], got[held[1]]
+    assert up.base_score == pytest.approx(mixed.base_score)
+    assert up.score > mixed.score + 4 and up.bits_per_byte < mixed.bits_per_byte
+
+
+def test_chances_of_all_signs_after_words_add_up_to_one():
+    words = [f"v{k}".encode() for k in range(13)]
+    lexicon = Lexicon(words, np.arange(13, 0, -1), 100, 12, endings=1)
+    text = " ".join(f"v{(k * k) % 14}" for k in range(4000))
+    counts, mixer, total = learned_online(iter([pa.array([text, None, ""])]), lexicon, 12)
+    again = learned_online(iter([pa.array([" ".join(text.split()[::-1]), None, ""])]), lexicon, 12)
+    # Learned online: the order of the words moves the weights, which have left where they began.
+    assert total == 4003 and not np.allclose(mixer.weights, again[1].weights) and not np.allclose(mixer.weights, 0.3)
+    assert counts.sum() == 4 * lexicon.code[1][lexicon.signs(hashes_of([*(f"v{(k * k) % 14}".encode() for k in range(4000)), b"", b"", b""]))].sum()
+    # Each of the own words, the one of an ending, and one that is not known.
+    after = np.concatenate([hashes_of([b"v1", b"v4", w]) for w in [*words, b"unknown"]])
+    found = sign_chances(after, np.arange(0, len(after) + 1, 3), lexicon, leanings(counts.astype(np.float32)), mixer)
+    assert (10 ** found[2::3]).sum() == pytest.approx(1)
+    assert Lexicon([], np.zeros(0), 0, 4).signs(hashes_of([b"a"])).tolist() == [36]
+
+
 def test_a_context_holds_the_whole_word_so_far():
     # Alike in their last five bytes, so that only the whole word so far tells the two ends apart; the last word repeats.
     spelling = Spelling([b"abcdefgh", b"xyzdefgh", b"abcdefgh"], prefix_code([1.0] * 256))
