@@ -561,7 +561,8 @@ def score_documents(docs: DataFrame, table_bits: int = 22, block_bytes: int = 24
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"),
                        held_out(F.col("doc_id"), 5, 1).alias("held_out"))
-    packed = pack(slim, block_count(slim, block_bytes), block_bytes)
+    blocks = block_count(slim, block_bytes)
+    packed = pack(slim, blocks, block_bytes)
     listed = per_block(packed, _listed, "block int, word binary, n long")
     # A row for each word and range of blocks: a word's blocks stay together and are sent once.
     places = durable(listed.groupBy("word", F.floor(F.col("block") / BLOCKS_TOGETHER).cast("int").alias("range")).agg(
@@ -570,7 +571,8 @@ def score_documents(docs: DataFrame, table_bits: int = 22, block_bytes: int = 24
     n, v, once = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     top = words.where("c > 0").orderBy(F.desc("c"), "word").limit(heads).toArrow()
     lexicon = Lexicon(top.column("word").to_pylist(), top.column("c").to_numpy(), n, own)
-    counts, mixer = crossings(slim.where("NOT held_out"), lexicon, table_bits)
+    # A task sends a table of slots, so there are no more tasks than blocks, however many files there are.
+    counts, mixer = crossings(slim.where("NOT held_out").coalesce(blocks), lexicon, table_bits)
     sent, masses = docs.sparkSession.sparkContext.broadcast(_squeezed(counts.reshape(-1))), lexicon.masses(taken_off(v, once), n)
     costs = spelled_words(words, table_bits)
     heard = costs.where("c > 0").agg(F.coalesce(F.sum(F.expr("power(10D, -cost)")), F.lit(0.0))).first()[0]
