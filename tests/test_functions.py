@@ -1,6 +1,7 @@
 """Building blocks against brute force."""
 
 import random
+import re
 import statistics
 from decimal import Decimal
 
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from ledgerloom.functions.columns import apart
 from ledgerloom.functions.joins import by_civil_day, lookup_join
 from ledgerloom.functions.median import exact_median
-from ledgerloom.functions.substrings import containing
+from ledgerloom.functions.substrings import containing, narrowed
 from ledgerloom.operators import derive, sanitise
 from ledgerloom.operators.normalise import (
     canonical_columns, empty_string_report, empty_to_null, normalise_requirement, unify, with_provenance)
@@ -80,6 +81,18 @@ def test_containing_long_texts_and_needles(spark):
         {(n, x) for n, t in enumerate(texts) for x in needles if t and x and x in t})
 
 
+def test_narrowed_keeps_every_text_that_holds_a_needle(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abé😀") for _ in range(n)) for n in (0, 1, 7, 255, 256, 257, 1000, 3000)]
+    texts += ["".join(rng.choice("0123-") for _ in range(12)) for _ in range(200)] + ["x" * 300 + "needle nine", None, "", "needle nine"]
+    needles = ["needle nine", "3-12", "", None] + [t[i:i + n] for t in texts[:8] for i, n in ((0, 3), (250, 12), (600, 300)) if t[i:i + n]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "n int, text string").repartition(3)
+    kept = [r["n"] for r in narrowed(frame, "text", spark.createDataFrame([(x,) for x in needles], "needle string"), "needle").collect()]
+    assert len(kept) == len(set(kept))
+    assert set(kept) == {n for n, t in enumerate(texts) if t and any(x and x in t for x in needles)}
+    assert narrowed(frame, "text", spark.createDataFrame([(None,), ("",)], "needle string"), "needle").count() == 0
+
+
 GUID = "2B87f7b4-e1d9-35e4-fedc-338162c66672"
 
 
@@ -108,6 +121,31 @@ def test_sanitise_keeps_empty_strings_and_proof_finds_leaks(spark):
     assert {r["column_name"] for r in sanitise.leak_scan(frame, spared).collect()} == {"note", "ResourceId"}
 
 
+@pytest.mark.parametrize("spare", [(), ("ResourceId",), ("BillingAccountName", "code"), ("ResourceId", "x_CustomerName", "note")])
+def test_leak_scan_of_values_equals_that_of_rows(spark, spare):
+    """A name that the mask holds, empty names, nulls, rows that come twice, two values that the sweep makes one."""
+    swept = sanitise.pseudonym_guid(F.lit(GUID), sanitise.DEFAULT_SALT)
+    same = spark.range(1).select(swept).first()[0]
+    cells = [(f"/sub/{GUID}", "Account", "", "ABCD-1E2F-GH3-IJK", f"of {GUID} and Account", 1),
+             (f"/sub/{GUID}", "", None, None, "", 2), (f"/sub/{same}", None, "Ada", "none", None, 3),
+             ("Ada's /sub", "Account", "Ada", "ABCD-1E2F-GH3-IJK", f"of {GUID} and Account", 4),
+             (None, "", "x", "x ABCD-1E2F-GH3-IJK x", "long " * 80 + "Ada", 5)]
+    columns = ["ResourceId", "BillingAccountName", "x_CustomerName", "code", "note"]
+    frame = spark.createDataFrame(cells * 2 + cells[:1], ", ".join(f"{c} string" for c in columns) + ", n int")
+    published = sanitise.sanitise(frame, spare=spare)
+    before, after = [[r.asDict() for r in f.collect()] for f in (frame, published)]
+    tokens = {t for r in before for c in columns for t in re.findall(sanitise.IDENTIFIER, r[c] or "")}
+    names = {r[c] for r in before for c in ("BillingAccountName", "x_CustomerName") if r[c]}
+    expected = {}
+    for c in columns:
+        hits = [r[c] for r in after if r[c] and (tokens & set(re.findall(sanitise.IDENTIFIER, r[c])) or any(n in r[c] for n in names))]
+        if hits:
+            expected[c] = (len(set(hits)), len(hits))
+    values = sanitise.column_values(frame)
+    for original, layer in ((frame, published), (values, sanitise.sanitise(values, spare=spare)), (values, published)):
+        assert {r["column_name"]: (r["leaking_values"], r["leaking_rows"]) for r in sanitise.leak_scan(original, layer).collect()} == expected
+
+
 def test_sanitise_nested(spark):
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.StringType())),
                          T.StructField("tags", T.MapType(T.StringType(), T.StringType())),

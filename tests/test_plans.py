@@ -52,6 +52,16 @@ def test_cross_checks_read_the_bill_once(spark, name, scans):
     assert len(re.findall(r"Location: .*lineitem", text)) == scans
 
 
+def test_leak_scan_reads_the_bill_once(spark, monkeypatch):
+    """The bill's distinct values are found in one pass; the sweep, the identifiers and the names are read off them."""
+    from ledgerloom.operators import sanitise
+
+    passes, found = [], sanitise.column_values
+    monkeypatch.setattr(sanitise, "column_values", lambda frame: passes.append(plan(frame)) or found(frame))
+    text = plan(JOBS["leak_scan"](spark, SF))
+    assert [len(re.findall(r"Location: .*lineitem", p)) for p in passes] == [1] and "lineitem" not in text
+
+
 def test_only_needed_tables_and_columns_are_read(spark):
     text = plan(JOBS["granularity"](spark, SF))
     assert text.count("ReadSchema:") == 1
